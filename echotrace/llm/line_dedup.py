@@ -47,6 +47,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     keyed = own.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos", "text_hash")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = scratch.store(hashed, "hashed")  # range partitioning reads its input twice; texts are read once
     lines = scratch.store(
         hashed.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos"), "lines"
     )
