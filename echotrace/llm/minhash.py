@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.llm.slices import record_batch, text_slices
+from echotrace.llm.slices import lean, record_batch, small_batches, text_slices
 from echotrace.operators.components import connected_components
 from echotrace.session import Scratch, cut
 
 U64 = np.uint64
-MEMO = 400_000
+MEMO = 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -159,6 +159,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        lean()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             xs, ys = batch.column(2), batch.column(3)
@@ -176,6 +177,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep_a.append(a[i])
                     keep_b.append(b[i])
             yield record_batch(schema, a=keep_a, b=keep_b)
+        lean()
 
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
@@ -192,6 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     base = scratch.store(sketches(docs, k, size, rows), "base")
     part = base.where("doc_id is not null and n > 0")

@@ -1,17 +1,41 @@
-"""Helpers for operators that stream Arrow batches through Python."""
+"""Helpers for operators that stream Arrow batches through Python, in bounded memory."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 CHARS = 400_000  # characters handled at once, so that token lists stay small
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: a batch of long rows must not fill a worker.
+
+    A smaller bound that the session has set already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(key, "-1")
+    if not known.isdigit() or not 0 < int(known) < 4 << 20:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def lean() -> None:
+    """Let a Python worker give freed memory back: idle workers live on between tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def text_slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: int = CHARS) -> Iterator[tuple[list, ...]]:
-    """Rows of the batches as lists by column, in slices of about `chars` characters of the last column."""
+    """Rows of the batches as lists by column, in slices of about `chars` bytes of the last column."""
+    lean()
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
         sizes = pc.binary_length(cols[-1]).fill_null(0).to_pylist()
@@ -23,6 +47,7 @@ def text_slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: i
                 start, used = i + 1, 0
         if start < len(sizes):
             yield tuple(c.slice(start).to_pylist() for c in cols)
+    lean()
 
 
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

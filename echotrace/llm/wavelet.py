@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm.fast_encode import encoder
-from echotrace.llm.slices import record_batch, text_slices
+from echotrace.llm.slices import lean, record_batch, small_batches, text_slices
 from echotrace.session import Scratch, cut
 
 MAGIC = b"ETWM"
@@ -176,6 +176,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         if doc_ids:
             yield shard()
 
+    small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -189,6 +190,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        lean()
         for batch in batches:
             for part, seq, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 matrix = WaveletMatrix(payload.as_py())
