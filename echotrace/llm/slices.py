@@ -19,8 +19,8 @@ def small_batches(spark: SparkSession) -> None:
     A smaller bound that the session has set already stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    known = spark.conf.get(key, "-1")
-    if not known.isdigit() or not 0 < int(known) < 4 << 20:
+    known = (spark.conf.get(key) or "").rstrip("bB")
+    if not known.isdigit() or int(known) > 4 << 20:
         spark.conf.set(key, BATCH_BYTES)
 
 
