@@ -28,10 +28,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() if sc.getCheckpointDir() else root
 
 
+def _few_files(df: DataFrame) -> DataFrame:
+    """One file for each core, however many partitions a shuffle has: small files cost more than they hold."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a narrow frame in the shared folder, so that lost executors cost no recomputation."""
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _few_files(df).checkpoint(eager=True)
 
 
 class Scratch:
@@ -41,9 +46,9 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, few_files: bool = True) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        (_few_files(df) if few_files else df).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
