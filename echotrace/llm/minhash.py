@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    base = scratch.store(sketches(docs, k, size, rows), "base")
+    base = scratch.store(sketches(docs, k, size, rows), "base", few_files=False)
     part = base.where("doc_id is not null and n > 0")
     classes = part.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
     # a class of one needs no shuffle of its sketch to know itself, but both sides are narrow
