@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() if sc.getCheckpointDir() else root
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package: their Python workers import the functions they run from it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_echotrace_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="echotrace-"), "echotrace_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    sc.addPyFile(target)
+    sc._echotrace_shipped = True
+
+
 def _few_files(df: DataFrame) -> DataFrame:
     """One file for each core, however many partitions a shuffle has: small files cost more than they hold."""
     return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
