@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.llm.slices import lean, record_batch, small_batches, text_slices
+from echotrace.llm.slices import lean, record_batch, prepare, text_slices
 from echotrace.operators.components import connected_components
 from echotrace.session import Scratch, cut
 
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "minhash")
     base = scratch.store(sketches(docs, k, size, rows), "base", few_files=False)
     part = base.where("doc_id is not null and n > 0")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm.fast_encode import encoder
-from echotrace.llm.slices import record_batch, small_batches, text_slices
+from echotrace.llm.slices import record_batch, prepare, text_slices
 from echotrace.session import Scratch, cut
 
 PIECES = "part int, rank long, doc_id long, start long, length int, doc_tokens long, ids_crc32 long, ids binary"
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "packing")
     pieces = scratch.store(cut_pieces(docs, tokenizer_path, end_id, window, with_ids), "pieces", few_files=False)
     if not with_ids:

@@ -9,15 +9,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from echotrace.session import ship
+
 CHARS = 400_000  # characters handled at once, so that token lists stay small
 BATCH_BYTES = "4m"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: a batch of long rows must not fill a worker.
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow batches by bytes: a batch of long rows must not fill a worker.
 
     A smaller bound that the session has set already stays.
     """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     known = (spark.conf.get(key) or "").rstrip("bB")
     if not known.isdigit() or int(known) > 4 << 20:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.llm.fast_encode import encoder
-from echotrace.llm.slices import record_batch, small_batches, text_slices
+from echotrace.llm.slices import record_batch, prepare, text_slices
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
             counts = enc.count(texts)
             yield record_batch(schema, doc_id=ids, n_bytes=sizes, n_tokens=counts, over_limit=[c > limit for c in counts])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.slices import record_batch
+from echotrace.llm.slices import lean, prepare, record_batch
 from echotrace.session import cut
 
 BLOCK = 4096
@@ -81,6 +81,7 @@ def _blocks(rows: DataFrame, parts: int, with_order: bool) -> DataFrame:
     schema = pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary()), ("ord", pa.binary())])
 
     def run(batches):
+        lean()
         held: dict[int, list] = {}
 
         def block(dims):
@@ -112,6 +113,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     of equal length are compared. Rows that repeat a query's vec_id are its own and not its
     candidates. Scores beyond 2**53 are refused, as doubles would round them.
     """
+    prepare(vectors.sparkSession)
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks")).where(
         F.col("vec_id").isNotNull()
         & (F.size("embedding") > 0)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm.fast_encode import encoder
-from echotrace.llm.slices import lean, record_batch, small_batches, text_slices
+from echotrace.llm.slices import lean, record_batch, prepare, text_slices
 from echotrace.session import Scratch, cut
 
 MAGIC = b"ETWM"
@@ -176,7 +176,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         if doc_ids:
             yield shard()
 
-    small_batches(spark)
+    prepare(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
