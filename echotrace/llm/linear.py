@@ -39,7 +39,7 @@ def fit_slope(margin: np.ndarray, y: np.ndarray) -> float:
     return float(ladder[int(np.argmin(loss))])
 
 
-def fit_logistic(rows: list[np.ndarray], target: np.ndarray, size: int, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], target: np.ndarray, size: int, ridge: float = 1e-3, steps: int = 2000) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sets of features, to soft labels in 0..1.
 
     `rows` has the feature numbers that each sample holds. Both labels weigh the same.
