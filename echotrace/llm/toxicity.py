@@ -1,8 +1,8 @@
 """Toxicity scores by weak supervision.
 
 Voters come from labelled training rows: lexicon words and word-start patterns that stand
-in toxic documents and hardly in others, and voters that vote clean where a whole kind of
-evidence is missing. A generative label model estimates by
+in toxic documents and hardly in others, and a voter that votes clean where all of that
+is missing. A generative label model estimates by
 expectation-maximisation, with the given label as one more and fallible voter, how each
 voter votes on toxic and on clean documents, and from the residuals how voters correlate; a voter's evidence
 is shared with those it correlates with. A logistic regression on words and word starts
@@ -179,6 +179,20 @@ def cover(held: list[set[str]], groups: list[int]) -> list[str]:
     return chosen + more[: MAX_VOTERS - len(chosen)]
 
 
+def best_cut(z: np.ndarray, post: np.ndarray) -> float:
+    """The middle of the widest gap in `z` among those that best part the soft labels."""
+    order = np.argsort(z, kind="stable")
+    z, post = z[order], post[order]
+    cost = np.cumsum(post)[:-1] + np.cumsum((1 - post)[::-1])[::-1][1:]
+    gap = np.diff(z)
+    cost = np.where(gap > 1e-9, cost, np.inf)
+    if not len(cost) or not np.isfinite(cost.min()):
+        return 0.0
+    near = np.flatnonzero(cost <= cost.min() + 0.5)
+    i = near[np.argmax(gap[near])]
+    return float((z[i] + z[i + 1]) / 2)
+
+
 def fit_model(texts: list[str], toxic: np.ndarray) -> Model:
     """A model from texts of distinct words separated by spaces, and their labels."""
     n_on, n_off = int((toxic == 1).sum()), int((toxic == 0).sum())
@@ -201,14 +215,14 @@ def fit_model(texts: list[str], toxic: np.ndarray) -> Model:
     if not chosen:
         return Model({}, math.log(n_on / (n_on + n_off)) - 3)
     number = {k: i for i, k in enumerate(chosen)}
-    lexicon, starts = ({k for k in chosen if k.endswith("*") == star} for star in (False, True))
     rows, votes = [], []
     for text in texts:
         held = features(text) & number.keys()
-        votes.append([int(k in held) for k in chosen] + [-int(not (held & lexicon)), -int(not (held & starts)), -int(not held)])
+        votes.append([int(k in held) for k in chosen] + [-int(not held)])
         rows.append(np.array(sorted(number[k] for k in held), np.int64))
     post = label_model(np.array(votes, np.float64), toxic.astype(np.float64))
     w, b = fit_logistic(rows, post, len(chosen))
+    b += 0.4 - best_cut(np.array([b + w[r].sum() for r in rows]), post)
     return Model({k: float(w[i]) for k, i in number.items() if abs(w[i]) > 1e-6}, b)
 
 
