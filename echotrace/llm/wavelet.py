@@ -45,13 +45,13 @@ def build(ids: np.ndarray, doc_ids: list[int], n_tokens: list[int]) -> bytes:
     a = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     out = [HEAD.pack(MAGIC, planes, n, len(doc_ids)), np.array(doc_ids, "<i8").tobytes(), np.array(n_tokens, "<u8").tobytes()]
     for level in range(planes - 1, -1, -1):
-        ones = (a >> a.dtype.type(level)) & a.dtype.type(1) != 0
+        ones = (a & a.dtype.type(1 << level)) != 0
         packed = np.zeros(_plane_bytes(n), np.uint8)
         bits = np.packbits(ones, bitorder="little")
         packed[: len(bits)] = bits
         counts = np.bitwise_count(packed.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
         before = np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)[:-1]]) if len(counts) else counts
-        low, high = a[~ones], a[ones]
+        low, high = a.compress(~ones), a.compress(ones)
         out += [struct.pack("<Q", len(low)), before.astype("<u4").tobytes(), packed.tobytes()]
         a = np.concatenate([low, high])
     return b"".join(out)
@@ -132,8 +132,8 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             ones = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(a)
-            up[~ones] = a[: self.zeros[p]]
-            up[ones] = a[self.zeros[p] :] | a.dtype.type(1 << (self.planes - 1 - p))
+            up[np.flatnonzero(~ones)] = a[: self.zeros[p]]
+            up[np.flatnonzero(ones)] = a[self.zeros[p] :] | a.dtype.type(1 << (self.planes - 1 - p))
             a = up
         return a
 
@@ -151,13 +151,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     def run(batches):
         enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        runs: list[np.ndarray] = []
+        runs: list[bytes] = []
         doc_ids: list[int] = []
         sizes: list[int] = []
 
         def shard():
             nonlocal seq, runs, doc_ids, sizes
-            ids = np.concatenate(runs)
+            ids = np.frombuffer(b"".join(runs), "<u4")
             row = record_batch(schema, part=[part], seq=[seq], n_tokens=[len(ids)], payload=[build(ids, doc_ids, sizes)])
             seq, runs, doc_ids, sizes = seq + 1, [], [], []
             return row
@@ -165,11 +165,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         total = 0
         for ids, texts in text_slices(batches):
             for doc_id, raw in zip(ids, enc.ids(texts)):
-                tokens = np.frombuffer(raw + end, "<u4")
-                runs.append(tokens)
+                runs += (raw, end)
                 doc_ids.append(doc_id)
-                sizes.append(len(tokens))
-                total += len(tokens)
+                sizes.append(len(raw) // 4 + 1)
+                total += sizes[-1]
                 if total >= shard_tokens:
                     total = 0
                     yield shard()
