@@ -93,3 +93,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         "words",
         F.when(F.col("words").isNull(), F.col("text")).otherwise(kept_text("text", "words")).alias("kept_text"),
     )
+
+
+def rewrite(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """`docs` with duplicate lines taken out of `text`, all other columns and rows as they are.
+
+    `n_chars`, if there, follows the text. A document that loses all its lines goes. Rows
+    that lose no line stay as they are, null texts too.
+    """
+    maps = keep_bitmaps(docs, min_chars).select(
+        F.col("doc_id").alias("__map_id"), F.col("text_hash").alias("__map_hash"), F.col("n_dropped").alias("__dropped"), F.col("words").alias("__words")
+    )
+    own_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    found = docs.join(maps.hint("shuffle_hash"), (docs["doc_id"] == maps["__map_id"]) & (own_hash == maps["__map_hash"]), "left")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    found = found.where(F.col("__dropped").isNull() | (F.col("__dropped") < lines))
+    text = F.when(F.col("__words").isNull(), F.col("text")).otherwise(kept_text("text", "__words"))
+    new = {"text": text} | ({"n_chars": F.when(F.col("__words").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import hilbert, langid, line_dedup, minhash, packing, token_counts, topk, toxicity, wavelet
+from echotrace.llm import hilbert, langid, line_dedup, lsa, minhash, packing, token_counts, topk, toxicity, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +60,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.layout(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_token_id_output": op7_token_id_output,
     "op8_sharding": op8_sharding,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
