@@ -13,8 +13,9 @@ full shingle sets.
 Equal sets are one class and carry on as one representative. Representatives of a bucket
 are linked through pivots, first the smallest, then a random one, so that a bucket of k
 near copies costs k comparisons. What then remains are bucket mates of different
-components; these pairs are screened on one-bit sketches inside the join and the
-survivors compared in full, so no link between different texts is given up. With 32
+components; among these documents an exact prefix filter with positions finds the pairs
+that can reach the similarity, and they are compared in full, so no link between
+different texts is given up. With 32
 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability below 5e-8.
 """
 
@@ -110,10 +111,10 @@ def fast_sketch(items: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
-    """`(doc_id, n, f0, f1, bands, s0, s1)`: set size, fingerprint of the set, band keys, one-bit sketch."""
+    """`(doc_id, n, f0, f1, bands)`: set size, fingerprint of the set, band keys."""
     bands = size // rows
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("bands", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())]
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("bands", pa.list_(pa.int64()))]
     )
 
     def run(batches):
@@ -122,7 +123,7 @@ def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
             out = {name: [] for name in schema.names}
             for doc_id, text in zip(ids, texts):
                 items = shingle_set(text, k)
-                f = s = (0, 0)
+                f = (0, 0)
                 keys: list[int] = []
                 if len(items):
                     f = np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist()
@@ -131,14 +132,12 @@ def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
                     for r in range(rows):
                         h = mix(h ^ coords[r::rows][:bands]) * U64(0x9E3779B97F4A7C15)
                     keys = h.view(np.int64).tolist()
-                    one = np.packbits((mix(coords) >> U64(63)).astype(np.uint8))
-                    s = (int(one[:8].view(np.int64)[0]), int(one[8:16].view(np.int64)[0]))
-                for name, value in zip(schema.names, (doc_id, len(items), *f, keys, *s)):
+                for name, value in zip(schema.names, (doc_id, len(items), *f, keys)):
                     out[name].append(value)
             yield record_batch(schema, **out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n long, f0 long, f1 long, bands array<long>, s0 long, s1 long"
+        run, "doc_id long, n long, f0 long, f1 long, bands array<long>"
     )
 
 
@@ -185,6 +184,80 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs `(a, b)` of `sets (id, items, n, comp)` of different components that can reach the similarity.
+
+    An exact filter, after Xiao, Wang, Lin and Yu, "Efficient similarity joins for near
+    duplicate detection" (2008): with shingles in one order, rarest first, two sets of
+    that similarity share a shingle in their prefixes, and the places of the first shared
+    one leave room for the overlap. Two rows of a shingle's own largest component never
+    meet, and a row meets only partners of a size that its place allows, by size classes,
+    so neither a hub nor a crowd of near misses is paired up within itself.
+    """
+    slots = 1 << 18
+    schema = pa.schema([("slot", pa.int32()), ("c", pa.int64())])
+
+    def count(batches):
+        held = np.zeros(slots, np.int64)
+        for batch in batches:
+            for items in batch.column(0):
+                held += np.bincount((np.frombuffer(items.as_buffer(), U64) >> U64(46)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(held)
+        yield record_batch(schema, slot=at, c=held[at])
+
+    counts = np.zeros(slots, np.int64)
+    for r in sets.select("items").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():  # at most `slots` rows
+        counts[r["slot"]] = r["c"]
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    post = pa.schema([("token", pa.int64()), ("pos", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
+
+    def prefixes(batches):
+        for batch in batches:
+            ids, comps = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, buffer in enumerate(batch.column(1)):
+                items = np.frombuffer(buffer.as_buffer(), U64)
+                n = len(items)
+                often = sent.value[(items >> U64(46)).astype(np.int64)]
+                order = np.lexsort((items, often))[: n - (percent * n + 99) // 100 + 1]
+                pos = np.flatnonzero(often[order] > 1)
+                tokens = items[order[pos]].view(np.int64)
+                m = len(pos)
+                yield record_batch(post, token=tokens, pos=pos + 1, id=[ids[i]] * m, n=[n] * m, comp=[comps[i]] * m)
+
+    def merged(batches):
+        held, rows = [], 0
+        for b in prefixes(batches):
+            held.append(b)
+            rows += b.num_rows
+            if rows > 20_000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lean()
+
+    posts = cut(sets.select("id", "items", "comp").mapInArrow(merged, "token long, pos long, id long, n long, comp long"))
+    mixed = posts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
+    posts = cut(posts.join(mixed, "token"))
+    main = posts.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    total = 100 + percent
+    room = F.least(F.col("n") * 100 / percent, F.col("m_most"))
+    cell = lambda size, slack: F.floor(8 * F.log2(size) + slack).cast("int")
+    asks = (
+        posts.join(main, "token").where("comp <> main")
+        .withColumn("m_most", F.expr(f"{total} * (1 + n - pos) / {percent} - n"))
+        .where(F.col("m_most") * 100 >= F.col("n") * percent)
+        .withColumn("cell", F.explode(F.sequence(cell(F.col("n") * percent / 100, -1e-6), cell(room, 1e-6))))
+        .select("token", "cell", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "comp")))
+    )
+    held = posts.select("token", cell(F.col("n"), 1e-9).alias("cell"), *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "comp")))
+    met = asks.join(held, ["token", "cell"]).where(
+        f"comp_a <> comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        f" and {total} * (1 + least(n_a - pos_a, n_b - pos_b)) >= {percent} * (n_a + n_b)"
+    )
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 128, rows: int = 4) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)`, one row per row of `docs (doc_id, text, ...)`.
 
@@ -201,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     classes = part.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
     # a class of one needs no shuffle of its sketch to know itself, but both sides are narrow
     reps = scratch.store(
-        part.join(classes, ["f0", "f1"]).where("doc_id = rep").dropDuplicates(["doc_id", "f0", "f1"]).select(F.col("doc_id").alias("id"), "n", "bands", "s0", "s1"),
+        part.join(classes, ["f0", "f1"]).where("doc_id = rep").dropDuplicates(["doc_id", "f0", "f1"]).select(F.col("doc_id").alias("id"), "n", "bands"),
         "reps",
     )
 
@@ -217,29 +290,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     links = linked(star, "star")
     comps = cut(connected_components(links, "a", "b"))
 
-    for step in ("random", "rest"):
+    def mixed_buckets(step: str) -> DataFrame:
+        """Bucket rows `(key, id, n, comp, p)` of the buckets that hold several components; p is a random row of the bucket."""
         node = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        placed = reps.join(node, "id", "left").select("id", "n", "s0", "s1", F.coalesce("comp", "id").alias("comp"), F.explode("bands").alias("key"))
+        placed = reps.join(node, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.explode("bands").alias("key"))
         mixed = placed.groupBy("key").agg(
             F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("r"), "id", "comp", "n")).alias("p")
         ).where("c0 <> c1")
-        placed = placed.join(mixed.select("key", "p"), "key")
-        if step == "random":
-            pairs = placed.where("comp <> p.comp and 100 * least(n, p.n) >= %d * greatest(n, p.n)" % percent).select(
-                F.col("p.id").alias("a"), F.col("id").alias("b")
-            )
-        else:
-            left = placed.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "s0", "s1", "comp")))
-            right = placed.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "s0", "s1", "comp")))
-            # at similarity 0.8 the bits differ in 12.8 of 128 places, with deviation 3.4
-            far = int(size * ((1 - percent / 100) / 2 + 0.165))
-            pairs = left.join(right, "key").where(
-                f"comp_a < comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-                f" and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {far}"
-            ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        more = linked(pairs.distinct(), step)
-        links = links.unionByName(more)
-        comps = cut(connected_components(links, "a", "b"))
+        return placed.join(mixed.select("key", "p"), "key")
+
+    pairs = mixed_buckets("random").where(f"comp <> p.comp and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    links = links.unionByName(linked(pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "random"))
+    comps = cut(connected_components(links, "a", "b"))
+
+    rest = scratch.store(mixed_buckets("rest").select("id", "n", "comp").distinct(), "rest")
+    sets = scratch.store(_sets(docs, rest.select("id"), k), "sets-rest")
+    pairs = scratch.store(_prefix_pairs(sets.join(rest, "id"), percent), "pairs-rest")
+    links = links.unionByName(cut(_confirmed(pairs, sets, percent).distinct()))
+    comps = cut(connected_components(links, "a", "b"))
 
     member = base.join(classes, ["f0", "f1"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep"))
     found = member.join(comps, member["rep"] == comps["node"], "left").select(
