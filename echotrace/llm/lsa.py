@@ -69,7 +69,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         df = np.zeros(TERMS + 1, np.int64)
         for _, texts in text_slices(batches):
             for text in texts:
-                df[np.unique(terms_of(words_of(text)))] += 1
+                df[terms_of(list(set(words_of(text))))] += 1  # a term counts once, however often it is named
                 df[TERMS] += 1
         held = np.flatnonzero(df)
         yield record_batch(schema, term=held, df=df[held])
