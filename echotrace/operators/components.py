@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             .where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        e = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), rows=2 * seen[0])
         now = _signature(e)
         if now == seen:
             break

@@ -45,15 +45,22 @@ def ship(spark: SparkSession) -> None:
     sc._echotrace_shipped = True
 
 
-def _few_files(df: DataFrame) -> DataFrame:
-    """One file for each core, however many partitions a shuffle has: small files cost more than they hold."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+ROWS_A_FILE = 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
+def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A narrow frame dealt out to a file for each million rows, or for each core if `rows` is unknown.
+
+    The exchange keeps the stage that makes the rows as wide as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores if rows is None else max(1, -(-rows // ROWS_A_FILE)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise a narrow frame in the shared folder, so that lost executors cost no recomputation."""
     checkpoint_root(df.sparkSession)
-    return _few_files(df).checkpoint(eager=True)
+    return few_files(df, rows).checkpoint(eager=True)
 
 
 class Scratch:
@@ -63,9 +70,9 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def store(self, df: DataFrame, name: str, few_files: bool = True) -> DataFrame:
+    def store(self, df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
         path = f"{self.path}/{name}"
-        (_few_files(df) if few_files else df).write.option("compression", "zstd").parquet(path)
+        (few_files(df) if narrow else df).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
