@@ -66,7 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.store(stage(spark, docs, sf_dir), f"stage{i}", few_files=False)
+        docs = scratch.store(stage(spark, docs, sf_dir), f"stage{i}", narrow=False)
     out = STAGES[-1][1](spark, docs, sf_dir)  # checkpointed, so that the stages' tables can go
     scratch.drop()
     return out
