@@ -26,7 +26,7 @@ from echotrace.llm.slices import lean, prepare, record_batch, text_slices
 
 DIMS = 4096
 SAMPLE = 2000
-MEMO = 300_000
+MEMO = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 

@@ -47,9 +47,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     keyed = own.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos", "text_hash")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = scratch.store(hashed, "hashed", few_files=False)  # range partitioning reads its input twice; texts are read once
+    hashed = scratch.store(hashed, "hashed", narrow=False)  # range partitioning reads its input twice; texts are read once
     lines = scratch.store(
-        hashed.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos"), "lines"
+        hashed.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos").coalesce(spark.sparkContext.defaultParallelism),
+        "lines",
+        narrow=False,  # a core writes its ranges one after the other, each in order
     )
     first = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     dropped = lines.join(first.select("h1", "h2", "first_doc"), ["h1", "h2"]).where("doc_id > first_doc")

@@ -32,7 +32,7 @@ COSINE = 0.3  # or less, for a passage that the latent space keeps little of
 SHARED = 0.4  # share of a window's length that must lie on terms of the passages
 COVERED = 0.6  # share of the passage's words in the common subsequence
 LOOSE, ANSWER = 0.4, 0.75
-MEMO = 500_000
+MEMO = 300_000
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?。？！])\s+|\n+")
 TERM_BLOCK = 1024

@@ -34,7 +34,8 @@ from echotrace.operators.components import connected_components
 from echotrace.session import Scratch, cut
 
 U64 = np.uint64
-MEMO = 250_000
+MEMO = 150_000
+PAIRS_A_HEAD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,9 +179,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield record_batch(schema, a=keep_a, b=keep_b)
         lean()
 
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    # a pivot of many pairs is dealt out with a share of them each time
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / PAIRS_A_HEAD)).alias("deal"))
+    heads = dealt.select("a", "deal").distinct().join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    tails = dealt.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    both = tails.join(heads.hint("shuffle_hash"), ["a", "deal"]).select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -269,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "minhash")
-    base = scratch.store(sketches(docs, k, size, rows), "base", few_files=False)
+    base = scratch.store(sketches(docs, k, size, rows), "base", narrow=False)
     part = base.where("doc_id is not null and n > 0")
     classes = part.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
     # a class of one needs no shuffle of its sketch to know itself, but both sides are narrow
@@ -279,15 +283,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     )
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.store(pairs, f"pairs-{name}")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = scratch.store(_sets(docs, ids, k), f"sets-{name}")
-        return cut(_confirmed(pairs, sets, percent).distinct())
+        return cut(_confirmed(scratch.store(pairs, f"pairs-{name}"), sets, percent).distinct())
 
     rows_ = reps.select("id", F.explode("bands").alias("key"))
     pivots = rows_.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p")
     star = rows_.join(pivots, "key").where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    links = linked(star, "star")
+    star = scratch.store(star, "pairs-star")
+    # whoever shares a bucket is in these pairs, so these sets serve all steps; they are dealt out by id once
+    ids = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(docs, ids, k).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").checkpoint(eager=True)
+    links = cut(_confirmed(star, sets, percent).distinct())
     comps = cut(connected_components(links, "a", "b"))
 
     def mixed_buckets(step: str) -> DataFrame:
@@ -304,9 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     comps = cut(connected_components(links, "a", "b"))
 
     rest = scratch.store(mixed_buckets("rest").select("id", "n", "comp").distinct(), "rest")
-    sets = scratch.store(_sets(docs, rest.select("id"), k), "sets-rest")
-    pairs = scratch.store(_prefix_pairs(sets.join(rest, "id"), percent), "pairs-rest")
-    links = links.unionByName(cut(_confirmed(pairs, sets, percent).distinct()))
+    links = links.unionByName(linked(_prefix_pairs(sets.join(rest, "id"), percent), "rest"))
     comps = cut(connected_components(links, "a", "b"))
 
     member = base.join(classes, ["f0", "f1"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep"))

@@ -143,7 +143,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "packing")
-    pieces = scratch.store(cut_pieces(docs, tokenizer_path, end_id, window, with_ids), "pieces", few_files=False)
+    pieces = scratch.store(cut_pieces(docs, tokenizer_path, end_id, window, with_ids), "pieces", narrow=False)
     if not with_ids:
         pieces = pieces.drop("ids")
     by_part = cut(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))

@@ -30,7 +30,7 @@ from echotrace.llm.linear import fit_logistic
 from echotrace.llm.slices import lean, prepare, record_batch, text_slices
 
 SAMPLE = 6000
-MEMO = 400_000
+MEMO = 200_000
 STARTS = (4, 5, 6, 7)
 MAX_VOTERS = 256
 TRUST = 0.95
