@@ -68,7 +68,7 @@ def utf16_tokens(norm: Column) -> Column:
     runs = F.regexp_extract_all(norm, F.lit(TOKEN), 1)
     units = lambda t: F.encode(t, "UTF-16BE")
     pieces = lambda t: F.transform(
-        F.sequence(F.lit(0), F.octet_length(units(t)) / 2 - 2), lambda i: F.substr(units(t), (2 * i + 1).cast("int"), F.lit(4))
+        F.sequence(F.lit(0), (F.octet_length(units(t)) / 2 - 2).cast("int")), lambda i: F.substr(units(t), (2 * i + 1).cast("int"), F.lit(4))
     )
     split = F.transform(runs, lambda t: F.when(t.rlike(f"[{JAPANESE}]") & (F.octet_length(units(t)) > 2), pieces(t)).otherwise(F.array(units(t))))
     return F.array_distinct(F.flatten(split))

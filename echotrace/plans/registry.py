@@ -381,7 +381,7 @@ def graph_filtered(spark, d):
     return edge_columns(graph.filter_edges(graph.account_edges(evidence(spark, d)), ["exact"], 2, from_ms=1704088800000))
 
 
-@query("SELECT edge_id, max(edge_id) OVER () AS next_cursor FROM (SELECT edge_id FROM account_edges WHERE edge_id > 'exact|src1|' ORDER BY edge_id LIMIT 10)")
+@query("SELECT edge_id, CASE WHEN (SELECT count(*) FROM account_edges WHERE edge_id > 'exact|src1|') > 10 THEN max(edge_id) OVER () END AS next_cursor FROM (SELECT edge_id FROM account_edges WHERE edge_id > 'exact|src1|' ORDER BY edge_id LIMIT 10)")
 def graph_page(spark, d):
     return graph.page(graph.account_edges(evidence(spark, d)), 10, "exact|src1|").select("edge_id", "next_cursor")
 
