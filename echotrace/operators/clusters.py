@@ -12,6 +12,8 @@ from echotrace.operators.simjoin import similar_pairs
 from echotrace.options import DetectionOptions
 from echotrace.session import cut
 
+SMALL_GRAPH = 100_000  # edges that one task takes at most
+
 POST = ("ord", "id", "account", "url", "posted_at", "posted_ms", "text")
 
 
@@ -50,7 +52,7 @@ def token_sets(prepared: DataFrame) -> DataFrame:
 
 def approximate_members(rest: DataFrame, edges: DataFrame) -> DataFrame:
     """`(ord, cluster_key, sim)` of posts linked by `edges (a, b, sim)`; sim is the cluster's highest."""
-    comps = connected_components(edges, "a", "b")
+    comps = connected_components(edges, "a", "b", one_task_edges=SMALL_GRAPH)
     best = edges.join(comps, edges["a"] == comps["node"]).groupBy("component").agg(F.max("sim").alias("sim"))
     return comps.join(best, "component").select(F.col("node").alias("ord"), F.col("component").alias("cluster_key"), "sim")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +64,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return few_files(df, rows).checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice what is no longer in use, so that executors delete those shuffle files now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables in the shared folder that live until `drop()`."""
 

@@ -59,7 +59,9 @@ def test_options():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100), (200, 201), (201, 200), (None, 5), (300, 1000), (300, 1001)] + [(500, i) for i in range(501, 700)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    graph_ = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(graph_, "a", "b").collect()}
+    assert {r.node: r.component for r in connected_components(graph_, "a", "b", one_task_edges=1000).collect()} == got
     assert {got[i] for i in range(1, 61)} == {1} and got[201] == 200 and 100 not in got and got[1001] == 300 and {got[i] for i in range(500, 700)} == {500}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
