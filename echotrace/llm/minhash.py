@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from echotrace.llm.slices import lean, record_batch, prepare, text_slices
 from echotrace.operators.components import connected_components
-from echotrace.session import Scratch, cut
+from echotrace.session import Scratch, cut, release
 
 U64 = np.uint64
 MEMO = 150_000
@@ -276,29 +276,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     base = scratch.store(sketches(docs, k, size, rows), "base", narrow=False)
     part = base.where("doc_id is not null and n > 0")
     classes = part.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
-    # a class of one needs no shuffle of its sketch to know itself, but both sides are narrow
-    reps = scratch.store(
-        part.join(classes, ["f0", "f1"]).where("doc_id = rep").dropDuplicates(["doc_id", "f0", "f1"]).select(F.col("doc_id").alias("id"), "n", "bands"),
-        "reps",
-    )
+    reps = part.join(classes, ["f0", "f1"]).where("doc_id = rep").dropDuplicates(["doc_id", "f0", "f1"])
+    rows_ = scratch.store(reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), "rows", narrow=False)
+    # joins with what grows with the input are hinted to shuffle, so that none is a broadcast
+    pivots = rows_.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p")
+    shared = scratch.store(rows_.join(pivots.hint("shuffle_hash"), "key"), "shared")  # rows of buckets with company
+    star = scratch.store(shared.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "pairs-star")
+    # whoever shares a bucket is in these pairs, so these sets serve all steps; they are dealt out by id once
+    ids = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(docs, ids.hint("shuffle_hash"), k).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").checkpoint(eager=True)
+    release(spark)
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         return cut(_confirmed(scratch.store(pairs, f"pairs-{name}"), sets, percent).distinct())
 
-    rows_ = reps.select("id", F.explode("bands").alias("key"))
-    pivots = rows_.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p")
-    star = rows_.join(pivots, "key").where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    star = scratch.store(star, "pairs-star")
-    # whoever shares a bucket is in these pairs, so these sets serve all steps; they are dealt out by id once
-    ids = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(docs, ids, k).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").checkpoint(eager=True)
     links = cut(_confirmed(star, sets, percent).distinct())
     comps = cut(connected_components(links, "a", "b"))
 
     def mixed_buckets(step: str) -> DataFrame:
         """Bucket rows `(key, id, n, comp, p)` of the buckets that hold several components; p is a random row of the bucket."""
         node = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        placed = reps.join(node, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.explode("bands").alias("key"))
+        placed = shared.join(node, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "key")
         mixed = placed.groupBy("key").agg(
             F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("r"), "id", "comp", "n")).alias("p")
         ).where("c0 <> c1")
