@@ -112,10 +112,10 @@ def fast_sketch(items: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
-    """`(doc_id, n, f0, f1, bands)`: set size, fingerprint of the set, band keys."""
+    """`(doc_id, n, f0, f1, bands, s0, s1)`: set size, fingerprint of the set, band keys, a bit of each coordinate."""
     bands = size // rows
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("bands", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("bands", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())]
     )
 
     def run(batches):
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
             out = {name: [] for name in schema.names}
             for doc_id, text in zip(ids, texts):
                 items = shingle_set(text, k)
-                f = (0, 0)
+                f = s = (0, 0)
                 keys: list[int] = []
                 if len(items):
                     f = np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist()
@@ -133,12 +133,13 @@ def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
                     for r in range(rows):
                         h = mix(h ^ coords[r::rows][:bands]) * U64(0x9E3779B97F4A7C15)
                     keys = h.view(np.int64).tolist()
-                for name, value in zip(schema.names, (doc_id, len(items), *f, keys)):
+                    s = tuple(np.packbits((mix(coords[:128]) >> U64(63)).astype(np.uint8)).view(np.int64).tolist())
+                for name, value in zip(schema.names, (doc_id, len(items), *f, keys, *s)):
                     out[name].append(value)
             yield record_batch(schema, **out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n long, f0 long, f1 long, bands array<long>"
+        run, "doc_id long, n long, f0 long, f1 long, bands array<long>, s0 long, s1 long"
     )
 
 
@@ -188,6 +189,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _screen(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs `(a, b)` that sizes and one-bit sketches in `marks (id, n, s0, s1)` do not rule out.
+
+    Of 128 bits a pair at similarity J differs in (1 - J) / 2, with deviation 3.4 at 0.8; the
+    bound is six deviations off, so a true pair fails with probability below 1e-8.
+    """
+    far = int(128 * ((1 - percent / 100) / 2 + 0.165))
+    side = lambda s: marks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s0", "s1")))
+    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {far}"
+    return both.where(near).select("a", "b")
+
+
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs `(a, b)` of `sets (id, items, n, comp)` of different components that can reach the similarity.
 
@@ -276,14 +290,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     base = scratch.store(sketches(docs, k, size, rows), "base", narrow=False)
     part = base.where("doc_id is not null and n > 0")
     classes = part.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
-    reps = part.join(classes, ["f0", "f1"]).where("doc_id = rep").dropDuplicates(["doc_id", "f0", "f1"])
+    reps = part.join(classes, ["f0", "f1"]).where("doc_id = rep")
     rows_ = scratch.store(reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), "rows", narrow=False)
     # joins with what grows with the input are hinted to shuffle, so that none is a broadcast
     pivots = rows_.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p")
     shared = scratch.store(rows_.join(pivots.hint("shuffle_hash"), "key"), "shared")  # rows of buckets with company
-    star = scratch.store(shared.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "pairs-star")
-    # whoever shares a bucket is in these pairs, so these sets serve all steps; they are dealt out by id once
-    ids = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    star = shared.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    ids = shared.select("id").distinct()
+    marks = scratch.store(reps.select(F.col("doc_id").alias("id"), "n", "s0", "s1").join(ids.hint("shuffle_hash"), "id", "left_semi"), "marks")
+    star = scratch.store(_screen(star, marks, percent).distinct(), "pairs-star")
+    release(spark)
+    # sets of all who share a bucket serve all steps; they are dealt out by id once
     sets = _sets(docs, ids.hint("shuffle_hash"), k).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").checkpoint(eager=True)
     release(spark)
 
@@ -303,7 +320,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
         return placed.join(mixed.select("key", "p"), "key")
 
     pairs = mixed_buckets("random").where(f"comp <> p.comp and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-    links = links.unionByName(linked(pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "random"))
+    pairs = pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = links.unionByName(linked(_screen(pairs, marks, percent).distinct(), "random"))
     comps = cut(connected_components(links, "a", "b"))
 
     rest = scratch.store(mixed_buckets("rest").select("id", "n", "comp").distinct(), "rest")
