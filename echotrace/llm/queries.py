@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.llm import hilbert, langid, line_dedup, lsa, minhash, packing, token_counts, topk, toxicity, wavelet
+from echotrace.session import few_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,7 +26,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_chars=10)
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    # the digests are narrow: a few files of them, behind an exchange of their own
+    return few_files(found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
