@@ -6,7 +6,10 @@ matrix of the benchmark passages: executors multiply their rows of the matrix by
 test matrix and back, partial products are summed by blocks of terms, and the driver
 orthonormalises a matrix of fixed size (Halko, Martinsson and Tropp, 2011). Overlapping
 windows of every document are folded in, and window and passage of sufficient cosine are
-a candidate. A candidate counts if the longest common subsequence of words covers enough
+a candidate. Beside them, whatever the cosine, stands an exact filter: text that covers
+enough of a passage holds several of its rarest words close together, so the places of
+those words give every candidate that the rules below can accept in a run of up to `SPAN`
+times the passage's length, whatever that length is. A candidate counts if the longest common subsequence of words covers enough
 of the passage; a looser one, a paraphrase, also needs the passage's answer: most of the
 rare words of its last sentence, and most of its weight, must stand in the window.
 """
@@ -32,6 +35,8 @@ COSINE = 0.3  # or less, for a passage that the latent space keeps little of
 SHARED = 0.4  # share of a window's length that must lie on terms of the passages
 COVERED = 0.6  # share of the passage's words in the common subsequence
 LOOSE, ANSWER = 0.4, 0.75
+SHORT = 8  # words; a passage of fewer counts only as a whole
+SPAN = 2  # passage lengths that the words of a copy lie within; 1 for a short passage
 MEMO = 300_000
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?。？！])\s+|\n+")
@@ -166,6 +171,10 @@ class Passages:
     idf: np.ndarray
     row: np.ndarray  # of a term in `folded`, whose last row is zero
     folded: np.ndarray  # idf times basis
+    near: np.ndarray  # the rare words of a passage that a copy of it holds at least
+    span: np.ndarray  # the run of words that holds them
+    begin: np.ndarray  # of a term's passages in `rare`, by row
+    rare: np.ndarray  # the passages that a term is a rare word of
 
     def verdict(self, item: int, segment: list[str]) -> float:
         """The covered share of the passage if the segment holds it, else 0."""
@@ -173,7 +182,7 @@ class Passages:
         if sum(map(held.__contains__, words)) < LOOSE * len(words):
             return 0.0
         share = common_subsequence(words, segment) / len(words)
-        if len(words) < 8:
+        if len(words) < SHORT:
             return share if share == 1 else 0.0
         if share >= COVERED:
             return share
@@ -186,8 +195,31 @@ class Passages:
         return share if found else 0.0
 
 
+def rare_words(words: list[str], idf: np.ndarray) -> tuple[set[int], int]:
+    """Terms of the rarest words of a passage, and how many places of a run must hold one of them if the run holds the passage.
+
+    A run that covers `need` of n words misses at most n - need of them, so it holds m of any
+    n - need + m. A run that covers `COVERED` of the weight misses less than the rest of it,
+    so of words that weigh more than the rest and the m - 1 heaviest it holds m.
+    """
+    n = len(words)
+    need = n if n < SHORT else int(np.ceil(COVERED * n - 1e-9))
+    m = min(need, max(2, n // 8))
+    ordered = sorted(words, key=lambda w: (-idf[_terms[w]], w))
+    take = n - need + m
+    if n >= SHORT:
+        weight = idf[terms_of(ordered)].astype(np.float64)
+        each: dict[str, float] = {}
+        for w, x in zip(ordered, weight.tolist()):
+            each[w] = each.get(w, 0.0) + x
+        heaviest = sum(sorted(each.values(), reverse=True)[: m - 1])
+        enough = (1 - COVERED + 1e-4) * weight.sum() + heaviest
+        take = max(take, int(np.searchsorted(np.cumsum(weight), enough, side="right")) + 1)
+    return {_terms[w] for w in ordered[:take]}, m
+
+
 def passages_of(rows: list[tuple[int, str]], idf: np.ndarray, all_terms: np.ndarray, basis: np.ndarray) -> Passages:
-    ids, words, answers, vectors = [], [], [], []
+    ids, words, answers, vectors, rare, near = [], [], [], [], [], []
     for item_id, text in rows:
         w = words_of(text)
         if not w:
@@ -199,21 +231,81 @@ def passages_of(rows: list[tuple[int, str]], idf: np.ndarray, all_terms: np.ndar
         words.append(w)
         answers.append(set(own[: max(1, (len(own) + 1) // 2)]))
         vectors.append(weight @ basis[np.searchsorted(all_terms, terms)])
+        some, m = rare_words(w, idf)
+        rare += [(int(t), len(near)) for t in some]
+        near.append(m)
     v = np.array(vectors, np.float32).reshape(len(ids), basis.shape[1])
     row = np.full(TERMS, len(all_terms), np.int32)
     row[all_terms] = np.arange(len(all_terms))
     folded = np.concatenate([idf[all_terms, None] * basis, np.zeros((1, basis.shape[1]), np.float32)])
-    return Passages(ids, words, answers, v, np.minimum(COSINE, 0.45 * (v * v).sum(axis=1)), idf, row, folded)
+    rare_row, rare_item = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+    begin = np.searchsorted(row[rare_row], np.arange(len(all_terms) + 2))  # terms and their rows are in one order
+    span = np.array([len(w) * (SPAN if len(w) >= SHORT else 1) for w in words], np.int64)
+    least = np.minimum(COSINE, 0.45 * (v * v).sum(axis=1))
+    return Passages(ids, words, answers, v, least, idf, row, folded, np.array(near, np.int64), span, begin, rare_item.copy())
+
+
+def copies(split: list[list[str]], sizes: np.ndarray, row: np.ndarray, known: Passages) -> dict[tuple[int, int], float]:
+    """The covered share of each (text, passage) where a run of the passage's `span` of words holds it.
+
+    Runs are tried with `2 * CHUNK` words more, in steps of as many, so that each run of
+    `span` words lies in one of them; a short passage is tried word by word. `row` has the
+    rows of the texts' words one after the other.
+    """
+    many = known.begin[row + 1] - known.begin[row]
+    at = np.flatnonzero(many)
+    many = many[at]
+    place = np.repeat(at, many)
+    item = known.rare[np.repeat(known.begin[row[at]] - np.cumsum(many) + many, many) + np.arange(len(place))]
+    order = np.argsort(item * np.int64(len(row)) + place)
+    place, item = place[order], item[order]
+    last = np.arange(len(place)) + known.near[item] - 1
+    inside = np.flatnonzero(last < len(place))
+    last = last[inside]
+    inside, last = (x[(item[inside] == item[last]) & (place[last] - place[inside] < known.span[item[inside]])] for x in (inside, last))
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends, place[inside], side="right")
+    same = place[last] < ends[owner]
+    found: dict[tuple[int, int], float] = {}
+    regions: list[list[int]] = []
+    rows = zip(owner[same].tolist(), item[inside][same].tolist(), place[inside][same].tolist(), place[last][same].tolist())
+    for text, k, first, end in rows:
+        start, span = int(ends[text] - sizes[text]), int(known.span[k])
+        low, high = max(0, end - start - span + 1), first - start + span
+        if regions and regions[-1][:2] == [text, k] and low <= regions[-1][3]:
+            regions[-1][3] = max(high, regions[-1][3])
+        else:
+            regions.append([text, k, low, high])
+    for text, k, low, high in regions:
+        words, n = split[text][low:high], len(known.words[k])
+        best = known.verdict(k, words)
+        step = 2 * CHUNK if n >= SHORT else 1
+        run = int(known.span[k]) + (step if n >= SHORT else 0)
+        if best and len(words) > run:
+            best = max(known.verdict(k, words[i : i + run]) for i in range(0, len(words) - run + step, step))
+        if best > found.get((text, k), 0.0):
+            found[text, k] = best
+    return found
 
 
 def search(texts: list[str | None], known: Passages) -> list[list[tuple[int, float]]]:
     """For each text, the passages it holds as (number, covered share)."""
     split = [words_of(t) for t in texts]
-    hits: list[list[tuple[int, float]]] = [[] for _ in texts]
     sizes = np.array([len(w) for w in split])
     if not sizes.sum() or not known.ids:
-        return hits
+        return [[] for _ in texts]
     terms = np.concatenate([terms_of(w) for w in split if w])
+    row = known.row[terms]
+    found = copies(split, sizes, row, known)
+    similar(split, sizes, terms, row, known, found)
+    hits: list[list[tuple[int, float]]] = [[] for _ in texts]
+    for (text, item), share in found.items():
+        hits[text].append((item, share))
+    return hits
+
+
+def similar(split: list[list[str]], sizes: np.ndarray, terms: np.ndarray, row: np.ndarray, known: Passages, found: dict[tuple[int, int], float]) -> None:
+    """Adds to `found` what windows of sufficient cosine hold."""
     chunks = -(-sizes // CHUNK)
     owner = np.repeat(np.arange(len(split)), chunks)  # the text of each chunk
     place = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -226,14 +318,13 @@ def search(texts: list[str | None], known: Passages) -> list[list[tuple[int, flo
         return out
 
     square = known.idf[terms] ** 2
-    row = known.row[terms]
     shared = row < len(known.folded) - 1
     norm = np.maximum(windows(np.add.reduceat(square, starts)), 1e-12)
     # a window's cosine with any passage is at most the share of its length on terms of the passages
     bound = np.sqrt(windows(np.add.reduceat(np.where(shared, square, 0), starts)) / norm)
     near = np.flatnonzero(bound >= SHARED)
     if not len(near):
-        return hits
+        return
     need = np.zeros(len(owner) + 1, bool)
     need[near] = True
     need[near[follows[near]] + 1] = True
@@ -253,7 +344,9 @@ def search(texts: list[str | None], known: Passages) -> list[list[tuple[int, flo
     for c, item in zip(rows.tolist(), items.tolist()):
         spans.setdefault((int(owner[c]), item), []).append(int(place[c]))
     for (text, item), at in spans.items():
-        reach, words, best = len(known.words[item]), split[text], 0.0
+        reach, words, best = len(known.words[item]), split[text], found.get((text, item), 0.0)
+        if best == 1:
+            continue
         first = last = at[0]
         for p in [*at[1:], None]:
             if p is not None and (p - last) * CHUNK <= CHUNK + reach:
@@ -262,8 +355,7 @@ def search(texts: list[str | None], known: Passages) -> list[list[tuple[int, flo
             best = max(best, known.verdict(item, words[max(0, first * CHUNK - reach) : (last + 2) * CHUNK + reach]))
             first = last = p
         if best:
-            hits[text].append((item, best))
-    return hits
+            found[text, item] = best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
