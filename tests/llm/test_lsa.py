@@ -39,6 +39,13 @@ def test_frequent_passages_and_rare_neighbours(spark):
     assert found(spark, docs, items) == want
 
 
+def test_long_passages(spark):
+    rng = random.Random(22)
+    items = [(k, words(rng, rng.randrange(400, 601), 3000)) for k in range(60)]
+    docs = [(i, planted(rng, words(rng, rng.randrange(100, 600), 3000), items[i][1]) if i < 60 else words(rng, 500, 3000)) for i in range(120)]
+    assert found(spark, docs, items) == {(i, i) for i in range(60)}
+
+
 def test_short_passages_count_word_for_word(spark):
     docs = [(0, "a red fox came by".split()), (1, "a red dog and a fox".split()), (2, "fox red".split()), (3, "x red fox".split())]
     assert found(spark, docs + [(9 + i, [f"n{i}"]) for i in range(20)], [(1, "red fox".split())]) >= {(0, 1), (3, 1)}
