@@ -46,6 +46,21 @@ def test_long_passages(spark):
     assert found(spark, docs, items) == {(i, i) for i in range(60)}
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(23)
+    items = [(k, words(rng, rng.randrange(15, 60), 3000)) for k in range(100)]
+    docs, want = [], set()
+    for i in range(600):
+        k = i % 100
+        passage = [rng.choice(words(rng, 1, 3000)) if rng.random() < (0.2, 0.3)[i % 2] else w for w in items[k][1]]
+        docs.append((i, planted(rng, words(rng, rng.randrange(60, 300), 3000), passage)))
+        if lsa.common_subsequence(items[k][1], passage) >= lsa.COVERED * len(passage):
+            want.add((i, k))
+    got = found(spark, docs, items)
+    assert want <= got
+    assert all(k == i % 100 for i, k in got)
+
+
 def test_short_passages_count_word_for_word(spark):
     docs = [(0, "a red fox came by".split()), (1, "a red dog and a fox".split()), (2, "fox red".split()), (3, "x red fox".split())]
     assert found(spark, docs + [(9 + i, [f"n{i}"]) for i in range(20)], [(1, "red fox".split())]) >= {(0, 1), (3, 1)}
