@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.session import cut
+from echotrace.session import Scratch, cut
 
 BITS = 4
 DIMS = 3
@@ -74,14 +74,15 @@ def _numbered(df: DataFrame, *keys: str) -> DataFrame:
     return own.join(starts, "part").withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "before")
 
 
-def layout(docs: DataFrame, shards: int = 16) -> DataFrame:
+def layout(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """`(doc_id, size, text_crc32, law, shard, slot, grown_shard)`, one row per row of `docs`.
 
     The law is `rows`: counts of shards are at most one apart. `size` is UTF-8 bytes of
     the text plus one; a null text has none and counts as equal to an empty one. Copies
     of a text split only where a shard is full of copies. Rows with null or repeated
     `doc_id` are placed like any other. `lang` and `source` may be missing or null; other
-    columns are ignored. With fewer rows than shards, the last shards stay empty.
+    columns are ignored. With fewer rows than shards, the last shards stay empty. The
+    columns of `carry` follow as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(
@@ -91,6 +92,7 @@ def layout(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit("second"), text).alias("h2"),
         _cell(docs, text).alias("cell"),
+        *carry,
     )
     own = cut(own.withColumn("curve", F.get(curve(), F.col("cell"))).drop("cell"))
     copies = own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "curve"))["curve"].alias("own_curve")).where("copies > 1")
@@ -111,7 +113,7 @@ def layout(docs: DataFrame, shards: int = 16) -> DataFrame:
     first = [sum(held[:s]) for s in range(shards)]
     inside = F.col("place") - F.get(F.lit(first), F.col("home"))
     fits = inside < F.get(F.lit(room), F.col("home"))
-    columns = ("doc_id", "size", "text_crc32")
+    columns = ("doc_id", "size", "text_crc32", *carry)
     stay = grouped.where(fits).select(*columns, F.col("home").alias("shard"), inside.alias("slot"))
 
     # single texts fill the rest in curve order; copies that a full shard has no room for come last
@@ -130,12 +132,19 @@ def layout(docs: DataFrame, shards: int = 16) -> DataFrame:
         *columns, "shard", (F.col("place") - F.get(F.lit(starts), F.col("shard")) + F.get(F.lit(taken), F.col("shard"))).alias("slot")
     )
     return stay.unionByName(rest).select(
-        *columns, F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        *columns[:3], F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write `docs` under `path`, a folder for each shard, rows in slot order."""
-    place = layout(docs, shards).select(F.col("doc_id").alias("place_id"), "shard", "slot")
-    moved = docs.join(place, docs["doc_id"] == place["place_id"]).drop("place_id")
+    """Write `docs` under `path`, a folder for each shard, rows in slot order.
+
+    Every row is written once, those with null or repeated `doc_id` too: rows meet their
+    places by a number of their own, which is stored with them, so that it stays the same.
+    """
+    scratch = Scratch(docs.sparkSession, "shards")
+    numbered = scratch.store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", narrow=False)
+    place = layout(numbered, shards, ("__row",)).select("__row", "shard", "slot")
+    moved = numbered.join(place, "__row").drop("__row")
     moved.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    scratch.drop()

@@ -268,6 +268,15 @@ def test_sharding(spark):
     assert sorted(r.shard for r in hilbert.layout(docs.limit(3)).collect()) == [0, 1, 2]
 
 
+def test_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(i, f"text {i % 7}" * (i % 20 + 1), "en", "s") for i in range(60)] + [(5, "another", "de", "s"), (5, "another", "de", "s"), (None, "no id", "en", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    hilbert.write_shards(docs, str(tmp_path / "s"), 4)
+    found = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r) for r in found.select(*docs.columns).collect()) == Counter(rows)
+    assert {r.shard: r["count"] for r in found.groupBy("shard").count().collect()} == {0: 16, 1: 16, 2: 16, 3: 16}
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ru", "te", "sha"]) for _ in range(rng.randrange(1, 5)))
