@@ -16,7 +16,8 @@ near copies costs k comparisons. What then remains are bucket mates of different
 components; among these documents an exact prefix filter with positions finds the pairs
 that can reach the similarity, and they are compared in full, so no link between
 different texts is given up. With 32
-bands of 4 rows a pair at similarity 0.8 shares no bucket with probability below 5e-8.
+bands of 4 rows a pair at similarity 0.8 shares no bucket with probability below 5e-8;
+for lower similarities bands have fewer rows, so that the same holds.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from echotrace.session import Scratch, cut, release
 U64 = np.uint64
 MEMO = 150_000
 PAIRS_A_HEAD = 256
+APART = 5e-8  # chance that a pair at the threshold shares no bucket, at most
+MOST_ROWS = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,6 +114,18 @@ def fast_sketch(items: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def banding(percent: int, size: int = 128) -> tuple[int, int]:
+    """`(size, rows)`: the most rows a band that keep `APART` at `percent`, in a sketch of `size` coordinates or, below 13 %, more."""
+    if percent < 1:
+        raise ValueError("percent is 1 at least: sets without a common shingle share no bucket")
+    share = min(percent, 100) / 100
+    while True:
+        for rows in range(MOST_ROWS, 0, -1):
+            if (1 - share**rows) ** (size // rows) <= APART:
+                return size, rows
+        size *= 2
+
+
 def sketches(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
     """`(doc_id, n, f0, f1, bands, s0, s1)`: set size, fingerprint of the set, band keys, a bit of each coordinate."""
     bands = size // rows
@@ -193,9 +208,11 @@ def _screen(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs `(a, b)` that sizes and one-bit sketches in `marks (id, n, s0, s1)` do not rule out.
 
     Of 128 bits a pair at similarity J differs in (1 - J) / 2, with deviation 3.4 at 0.8; the
-    bound is six deviations off, so a true pair fails with probability below 1e-8.
+    bound is six deviations off, at lower similarities too, so a true pair fails with
+    probability below 1e-8.
     """
-    far = int(128 * ((1 - percent / 100) / 2 + 0.165))
+    differ = (1 - min(percent, 100) / 100) / 2
+    far = int(128 * differ + max(128 * 0.165, 6.22 * (128 * differ * (1 - differ)) ** 0.5))
     side = lambda s: marks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s0", "s1")))
     both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {far}"
@@ -276,14 +293,17 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 128, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 128, rows: int | None = None) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)`, one row per row of `docs (doc_id, text, ...)`.
 
     Null and blank texts have no shingles and are linked with nothing. Rows with a null
     `doc_id` take no part: component_id is null and kept is true. Rows that repeat a
     `doc_id` count as one document, which has the links of all of them. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    ignored, whatever their names. An empty table gives an empty result. `rows` of a band
+    follow from `percent` unless given; `size` is doubled if it is too small for `percent`.
     """
+    if rows is None:
+        size, rows = banding(percent, size)
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "minhash")

@@ -63,3 +63,18 @@ def test_long_text(spark):
     text = " ".join(words(random.Random(2), 150_000))
     found = minhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string"), 5).collect()
     assert {r.component_id for r in found} == {1}
+
+
+def test_bands_follow_the_threshold(spark):
+    for percent in (*range(1, 101, 9), 50, 60, 69, 80):
+        size, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** (size // rows) <= 5e-8
+    assert minhash.banding(80) == minhash.banding(95) == (128, 4)
+    rows = []
+    for i in range(0, 800, 2):  # pairs of 60 shingles each that share 40: exactly 50 %
+        both, one, two = ([f"p{i}x{j}{s}" for j in range(n)] for s, n in (("a", 43), ("b", 20), ("c", 20)))
+        rows += [(i, " ".join(both + one)), (i + 1, " ".join(both + two))]
+    want = brute.near_duplicates(rows, 4, 50)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 50).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert sum(c != i for i, (_, c) in want.items()) == 400
