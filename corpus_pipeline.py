@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 
 from echotrace.llm import langid, line_dedup, lsa, minhash, packing
 from echotrace.llm.queries import tokenizer_path
+from echotrace.llm.slices import text_hash
 from echotrace.session import Scratch
 
 SURE = 0.3  # least score of a language that a document is kept for
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `gone`; rows with a null doc_id stay."""
-    gone = gone.select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """`docs` without the rows whose doc_id and text are in `gone (doc_id, text_hash)`; rows with a null doc_id stay."""
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+    return docs.join(gone, (docs["doc_id"] == gone["__gone_id"]) & (text_hash(docs["text"]) == gone["__gone_hash"]), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model knows; texts without letters and with no likely language go."""
     model = langid.fit(docs, ~langid.held_out(4, 2))
-    found = langid.identify(docs, model)
+    found = langid.identify(docs, model, hashed=True)
     return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE)))
 
 
@@ -41,7 +42,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    return _without(docs, lsa.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(docs, lsa.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hashed=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

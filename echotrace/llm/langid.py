@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm.linear import fit_slope, fit_svm
-from echotrace.llm.slices import lean, prepare, record_batch, text_slices
+from echotrace.llm.slices import lean, prepare, record_batch, text_hash, text_slices
 
 DIMS = 4096
 SAMPLE = 2000
@@ -186,25 +186,28 @@ def fit_model(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     return Model(langs, families, pairs, np.array(weights).T.copy(), np.array(bias), np.array(slope))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, hashed: bool = False) -> DataFrame:
     """`(doc_id, lang_pred, score)`, one row per row of `docs (doc_id, text, ...)`.
 
     A null text, or one without letters, is `und` with score 0; so is everything if the
     model has seen no language. Null and repeated ids are predicted like any other row.
-    Only the text is looked at.
+    Only the text is looked at. With `hashed`, `text_hash` follows.
     """
     prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    keys = ["doc_id"]
+    if hashed:
+        schema, keys = schema.append(pa.field("text_hash", pa.int64())), ["doc_id", "text_hash"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x margins doubles, whatever the input
 
     def run(batches):
-        for ids, texts in text_slices(batches):
+        for *own, texts in text_slices(batches, (*keys, "text")):
             found = sent.value.predict(texts)
-            yield record_batch(schema, doc_id=ids, lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            yield record_batch(schema, **dict(zip(keys, own)), lang_pred=[f[0] for f in found], score=[f[1] for f in found])
         lean()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([text_hash(F.col("text")).alias("text_hash")] if hashed else []), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, lang_pred string, score double" + (", text_hash long" if hashed else ""))
 
 
 def held_out(residues: int, residue: int) -> Column:

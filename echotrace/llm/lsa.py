@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.llm.slices import lean, prepare, record_batch, text_slices
+from echotrace.llm.slices import lean, prepare, record_batch, text_hash, text_slices
 
 TERMS = 1 << 17
 RANK = 64
@@ -358,19 +358,23 @@ def similar(split: list[list[str]], sizes: np.ndarray, terms: np.ndarray, row: n
             found[text, item] = best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, hashed: bool = False) -> DataFrame:
     """`(doc_id, contaminated, n_items, item_ids, best_item, best_share)` of the documents that hold a passage.
 
     `docs` has doc_id and text, `benchmark` item_id and text; other columns are ignored.
     There is a row for each row of `docs` that holds a passage. Null and empty texts hold
     none and, on the benchmark side, are none. Rows with a null doc_id are searched like
     others and returned with a null id. Ties for the best passage go to the smaller item_id.
-    Passages are sent out `ITEMS` at a time, each time with a pass over the documents.
+    Passages are sent out `ITEMS` at a time, each time with a pass over the documents. With
+    `hashed`, `text_hash` of the document follows.
     """
     spark = docs.sparkSession
     prepare(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("best_item", pa.int64()), ("best_share", pa.float64())])
     ddl = "doc_id long, contaminated boolean, n_items long, item_ids array<long>, best_item long, best_share double"
+    keys = ["doc_id"]
+    if hashed:
+        schema, ddl, keys = schema.append(pa.field("text_hash", pa.int64())), f"{ddl}, text_hash long", ["doc_id", "text_hash"]
     own, items = _texts(docs, "doc_id"), _texts(benchmark, "item_id").where("doc_id is not null and text is not null")
     n_items = items.count()
     if not n_items:
@@ -389,22 +393,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             known = sent.value
-            for ids, texts in text_slices(batches):
+            for *ids, texts in text_slices(batches, (*keys, "text")):
                 out = {name: [] for name in schema.names}
-                for doc_id, hits in zip(ids, search(texts, known)):
+                for hits, *key in zip(search(texts, known), *ids):
                     if hits:
                         held = sorted((-share, known.ids[k]) for k, share in hits)
                         ranked = sorted({k for _, k in held})
-                        for name, value in zip(schema.names, (doc_id, True, len(ranked), ranked, held[0][1], -held[0][0])):
+                        for name, value in zip(schema.names, (key[0], True, len(ranked), ranked, held[0][1], -held[0][0], *key[1:])):
                             out[name].append(value)
                 yield record_batch(schema, **out)
             lean()
 
-        part = own.mapInArrow(run, ddl)
+        part = (own.withColumn("text_hash", text_hash(F.col("text"))) if hashed else own).mapInArrow(run, ddl)
         found = part if found is None else found.unionByName(part)
     if slices > 1:
         best = F.min(F.struct((-F.col("best_share")).alias("s"), "best_item"))
-        found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("b")).select(
-            "doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("b.best_item").alias("best_item"), (-F.col("b.s")).alias("best_share")
+        found = found.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("b")).select(
+            "doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("b.best_item").alias("best_item"), (-F.col("b.s")).alias("best_share"), *keys[1:]
         )
     return found

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from echotrace.session import ship
 
@@ -27,6 +28,11 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows that repeat a doc_id apart by their texts; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def lean() -> None:
     """Let a Python worker give freed memory back: idle workers live on between tasks."""
     pa.set_memory_pool(pa.system_memory_pool())

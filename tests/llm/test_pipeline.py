@@ -36,3 +36,15 @@ def test_stages(spark, tmp_path):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
     assert corpus_pipeline.run(spark, DIR).columns == docs.columns
+
+
+def test_rows_of_one_id_stay_or_go_by_their_text(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    item = next(r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if r.text)
+    schema = docs.select("doc_id", "text", "lang", "source", "n_chars").schema
+    clean = corpus_pipeline.decontaminate(spark, corpus_pipeline.identify_language(spark, docs, DIR), DIR).where("length(text) > 200").orderBy("doc_id").first()
+    more = spark.createDataFrame([(20_000, clean.text, "en", "s", 1), (20_000, "12 34", "en", "s", 1), (20_000, None, "en", "s", 1), (20_001, clean.text, "en", "s", 1), (20_001, f"{item} {item}", "en", "s", 1)], schema)
+    docs = docs.select(*schema.names).unionByName(more)
+    texts = lambda df, i: [r.text for r in df.where(F.col("doc_id") == i).collect()]
+    assert texts(corpus_pipeline.identify_language(spark, docs, DIR), 20_000) == [clean.text]
+    assert texts(corpus_pipeline.decontaminate(spark, docs, DIR), 20_001) == [clean.text]
