@@ -2,9 +2,9 @@
 
 Hashes of line keys are range-partitioned by (hash, document) and sorted within
 partitions by (hash, document, position), so a frequent line is spread over as many
-partitions as its rows fill, and the first occurrence of a key is found by one streaming
-pass per partition and a merge of one row per key and partition. What comes back are not
-texts but, for each document, the 64-bit words of a keep bitmap that have a cleared bit.
+partitions as its rows fill. First occurrences are then the smallest documents of an
+ordinary hash aggregate by key, joined back to the lines; neither needs the sort. What
+comes back are not texts but, for each document, the 64-bit words of a keep bitmap that have a cleared bit.
 """
 
 from __future__ import annotations
