@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
@@ -58,10 +59,44 @@ def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.repartition(cores if rows is None else max(1, -(-rows // ROWS_A_FILE)))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _session_folder(spark: SparkSession) -> str:
+    """A folder in the shared one for tables of this session; it goes when this Python ends."""
+    sc = spark.sparkContext
+    folder = getattr(sc, "_echotrace_folder", None)
+    if folder is None:
+        folder = sc._echotrace_folder = f"{checkpoint_root(spark).rstrip('/')}/echotrace-{uuid.uuid4().hex}"
+        stop = sc.stop
+
+        def clean() -> None:
+            try:
+                if sc._jsc is not None:
+                    _delete(spark, folder)
+            except Exception:  # the JVM may be gone; then the folder stays
+                pass
+
+        def stop_clean() -> None:
+            clean()
+            stop()
+
+        sc.stop = stop_clean
+        atexit.register(clean)
+    return folder
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Materialise a narrow frame in the shared folder, so that lost executors cost no recomputation."""
-    checkpoint_root(df.sparkSession)
-    return few_files(df, rows).checkpoint(eager=True)
+    """Materialise a narrow frame in the shared folder, so that lost executors cost no recomputation.
+
+    It is written as Parquet, so that later plans know its size and read the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    few_files(df, rows).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -71,18 +106,29 @@ def release(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that live until `drop()`."""
+    """Parquet tables in the shared folder that live until `drop()`, or as a context until it ends.
+
+    What is not dropped, as its readers need it, goes with the session.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def store(self, df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def store(self, df: DataFrame, name: str, narrow: bool = True, rows: int | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
-        (few_files(df) if narrow else df).write.option("compression", "zstd").parquet(path)
+        (few_files(df, rows) if narrow else df).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def remove(self, name: str) -> None:
+        """Delete one table before the others, once nothing is read from it any more."""
+        _delete(self.spark, f"{self.path}/{name}")
+
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)

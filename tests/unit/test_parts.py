@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from echotrace.functions import text as T
 from echotrace.operators import evaluation, governance, graph
-from echotrace.operators.components import connected_components
+from echotrace.operators.components import connected_components, extended
 from echotrace.operators.ranking import global_row_number
 from echotrace.options import DetectionOptions
 
@@ -58,12 +58,31 @@ def test_options():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100), (200, 201), (201, 200), (None, 5), (300, 1000), (300, 1001)] + [(500, i) for i in range(501, 700)]
-    graph_ = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.component for r in connected_components(graph_, "a", "b").collect()}
-    assert {r.node: r.component for r in connected_components(graph_, "a", "b", one_task_edges=1000).collect()} == got
-    assert {got[i] for i in range(1, 61)} == {1} and got[201] == 200 and 100 not in got and got[1001] == 300 and {got[i] for i in range(500, 700)} == {500}
+    import random
+
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    edges += [(1000 + i, 1001 + i) for i in range(300)] + [(3000, 3001 + i) for i in range(500)] + [(5000 - i, 4000) for i in range(200)]
+    edges += [(7, 7), (None, 3), (8, None), edges[0], edges[0][::-1]]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(frame, "a", "b").collect()}
+    assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    first, more = spark.createDataFrame(edges[::2], "a long, b long"), spark.createDataFrame(edges[1::2], "a long, b long")
+    whole = extended(connected_components(first, "a", "b"), more, "a", "b")
+    assert {r.node: r.component for r in whole.collect()} == got
+    assert whole.count() == len(got)
 
 
 def test_global_row_number(spark):
