@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.llm.slices import lean, record_batch, prepare, text_slices
-from echotrace.operators.components import connected_components
+from echotrace.operators.components import connected_components, extended
 from echotrace.session import Scratch, cut, release
 
 U64 = np.uint64
-MEMO = 150_000
+MEMO = 100_000
 PAIRS_A_HEAD = 256
 APART = 5e-8  # chance that a pair at the threshold shares no bucket, at most
 MOST_ROWS = 4
@@ -241,8 +241,8 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
         yield record_batch(schema, slot=at, c=held[at])
 
     counts = np.zeros(slots, np.int64)
-    for r in sets.select("items").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():  # at most `slots` rows
-        counts[r["slot"]] = r["c"]
+    found = sets.select("items").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # two columns of at most `slots` numbers
+    counts[found.column("slot").to_numpy()] = found.column("c").to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     post = pa.schema([("token", pa.int64()), ("pos", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
 
@@ -304,19 +304,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     """
     if rows is None:
         size, rows = banding(percent, size)
+    prepare(docs.sparkSession)
+    with Scratch(docs.sparkSession, "minhash") as scratch:
+        return _components(docs, k, percent, size, rows, scratch)
+
+
+def _components(docs: DataFrame, k: int, percent: int, size: int, rows: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "minhash")
     base = scratch.store(sketches(docs, k, size, rows), "base", narrow=False)
     part = base.where("doc_id is not null and n > 0")
     classes = part.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
     reps = part.join(classes, ["f0", "f1"]).where("doc_id = rep")
     rows_ = scratch.store(reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), "rows", narrow=False)
-    # joins with what grows with the input are hinted to shuffle, so that none is a broadcast
+    # joins with what grows with the input are hinted to shuffle, so that none is a broadcast; a side as large as the buckets is sorted and may spill
     pivots = rows_.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p")
-    shared = scratch.store(rows_.join(pivots.hint("shuffle_hash"), "key"), "shared")  # rows of buckets with company
+    shared = scratch.store(rows_.join(pivots.hint("merge"), "key"), "shared")  # rows of buckets with company
     star = shared.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    ids = shared.select("id").distinct()
+    scratch.remove("rows")
+    ids = scratch.store(shared.select("id").distinct(), "ids")
     marks = scratch.store(reps.select(F.col("doc_id").alias("id"), "n", "s0", "s1").join(ids.hint("shuffle_hash"), "id", "left_semi"), "marks")
     star = scratch.store(_screen(star, marks, percent).distinct(), "pairs-star")
     release(spark)
@@ -324,37 +329,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     sets = _sets(docs, ids.hint("shuffle_hash"), k).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").checkpoint(eager=True)
     release(spark)
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        return cut(_confirmed(scratch.store(pairs, f"pairs-{name}"), sets, percent).distinct())
-
-    links = cut(_confirmed(star, sets, percent).distinct())
-    comps = cut(connected_components(links, "a", "b"))
+    # each step's links are contracted on the components of the steps before
+    comps = connected_components(_confirmed(star, sets, percent), "a", "b")
+    release(spark)
 
     def mixed_buckets(step: str) -> DataFrame:
-        """Bucket rows `(key, id, n, comp, p)` of the buckets that hold several components; p is a random row of the bucket."""
+        """Bucket rows `(key, id, n, comp, id_p, n_p, comp_p)` of the buckets that hold several components; the last three are of a random row of the bucket."""
         node = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        placed = shared.join(node, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "key")
-        mixed = placed.groupBy("key").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("r"), "id", "comp", "n")).alias("p")
-        ).where("c0 <> c1")
-        return placed.join(mixed.select("key", "p"), "key")
-
-    pairs = mixed_buckets("random").where(f"comp <> p.comp and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-    pairs = pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = links.unionByName(linked(_screen(pairs, marks, percent).distinct(), "random"))
-    comps = cut(connected_components(links, "a", "b"))
+        placed = scratch.store(shared.join(node, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "key"), f"placed-{step}")
+        some = F.xxhash64("id", F.lit(step))
+        picked = [F.min_by(c, some).alias(f"{c}_p") for c in ("id", "n", "comp")]
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *picked).where("c0 <> c1")
+        return placed.join(mixed.drop("c0", "c1"), "key")
+
+    pairs = mixed_buckets("random").where(f"comp <> comp_p and 100 * least(n, n_p) >= {percent} * greatest(n, n_p)")
+    pairs = pairs.select(F.col("id_p").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = scratch.store(_screen(pairs, marks, percent).distinct(), "pairs-random")
+    scratch.remove("placed-random")
+    release(spark)
+    comps = extended(comps, _confirmed(pairs, sets, percent), "a", "b")
 
+    release(spark)
     rest = scratch.store(mixed_buckets("rest").select("id", "n", "comp").distinct(), "rest")
-    links = links.unionByName(linked(_prefix_pairs(sets.join(rest, "id"), percent), "rest"))
-    comps = cut(connected_components(links, "a", "b"))
+    for name in ("placed-rest", "shared"):
+        scratch.remove(name)
+    pairs = scratch.store(_prefix_pairs(sets.join(rest, "id"), percent), "pairs-rest")
+    comps = extended(comps, _confirmed(pairs, sets, percent), "a", "b")
 
     member = base.join(classes, ["f0", "f1"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep"))
     found = member.join(comps, member["rep"] == comps["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
-    out = cut(found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
-    scratch.drop()
-    return out
+    return cut(found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
