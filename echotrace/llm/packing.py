@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.fast_encode import encoder
+from echotrace.llm.fast_encode import SLICE, encoder
 from echotrace.llm.slices import record_batch, prepare, text_slices
 from echotrace.session import Scratch, cut
 
@@ -112,21 +113,23 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, w
     )
 
     def run(batches):
-        enc, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
-        end = np.array([end_id], "<u4").tobytes()
-        for doc_ids, texts in text_slices(batches):
+        enc, part, seen = encoder(tokenizer_path, end_id, checked), TaskContext.get().partitionId(), Counter()
+        for doc_ids, texts in text_slices(batches, chars=SLICE):
             out = {name: [] for name in schema.names}
-            for doc_id, raw in zip(doc_ids, enc.ids(texts)):
-                raw += end
-                for at in range(0, len(raw), 4 * window):
-                    piece = raw[at : at + 4 * window]
+            ids, sizes = enc.encode(texts)
+            raw, end = memoryview(ids.astype("<u4").tobytes()), 0
+            for doc_id, total in zip(doc_ids, sizes.tolist()):
+                start, end = end, end + total
+                for at in range(start, end, window):
+                    piece = raw[4 * at : 4 * min(at + window, end)]
                     n = len(piece) // 4
-                    values = (part, seen[n], doc_id, at // 4, n, len(raw) // 4, zlib.crc32(piece), piece if with_ids else None)
+                    values = (part, seen[n], doc_id, at - start, n, total, zlib.crc32(piece), bytes(piece) if with_ids else None)
                     seen[n] += 1
                     for name, value in zip(schema.names, values):
                         out[name].append(value)
             yield record_batch(schema, **out)
 
+    checked = encoder(tokenizer_path).merger is not None
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, PIECES)
 
@@ -143,6 +146,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "packing")
+    # with ids the result is read from the pieces, which then go with the session
+    with nullcontext(scratch) if with_ids else scratch:
+        return _packed(docs, tokenizer_path, end_id, window, with_ids, scratch)
+
+
+def _packed(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, with_ids: bool, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
     pieces = scratch.store(cut_pieces(docs, tokenizer_path, end_id, window, with_ids), "pieces", narrow=False)
     if not with_ids:
         pieces = pieces.drop("ids")
@@ -164,8 +174,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
         (F.col("at") + F.expr("(r - first) % per") * F.col("length")).cast("long").alias("offset"),
         *(["ids"] if with_ids else []),
     )
-    if with_ids:
-        return out
-    out = cut(out)
-    scratch.drop()
-    return out
+    return out if with_ids else cut(out)

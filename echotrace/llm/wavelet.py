@@ -1,17 +1,17 @@
 """Token ids in wavelet matrix shards.
 
-A shard file holds the token ids of a run of documents as a wavelet matrix (Claude,
+A shard holds the token ids of a run of documents as a wavelet matrix (Claude,
 Navarro and Ordonez, 2015): one bit plane for each bit of the largest id, most
-significant first, each plane ordered by the bits above it, with a rank directory. That
-is about 17 bits a token for a vocabulary of 50,000, and answers access, rank, select
-and count from the planes. Layout, little-endian:
+significant first, each plane ordered by the bits above it, with a rank directory, in
+which select looks its block up. That is about 17 bits a token for a vocabulary of
+50,000, and answers access, rank, select and count from the planes. Layout, little-endian:
 
     magic "ETWM", u32 planes, u64 tokens, u64 documents,
     i64 doc_id[documents], u64 n_tokens[documents],
     then for each plane: u64 zeros, u32 ones before each 512-bit block, packed bits.
 
-Shards are written through Spark's own writer, one payload a row, so that they land on
-any store and a lost task leaves nothing half-written.
+Shards are written through Spark's own writer, each as the only row of a Parquet file of
+its own, so that they land on any store and a lost task leaves nothing half-written.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.fast_encode import encoder
+from echotrace.llm.fast_encode import SLICE, encoder
 from echotrace.llm.slices import lean, record_batch, prepare, text_slices
 from echotrace.session import Scratch, cut
 
 MAGIC = b"ETWM"
 HEAD = struct.Struct("<4sIQQ")
 BLOCK = 512
+STEP = 1 << 15  # tokens moved at once; a multiple of 8
 
 
 def _plane_bytes(n: int) -> int:
@@ -43,17 +44,25 @@ def build(ids: np.ndarray, doc_ids: list[int], n_tokens: list[int]) -> bytes:
     n = len(ids)
     planes = max(1, int(ids.max()).bit_length()) if n else 1
     a = ids.astype(np.uint16 if planes <= 16 else np.uint32)
+    b = np.empty_like(a)
     out = [HEAD.pack(MAGIC, planes, n, len(doc_ids)), np.array(doc_ids, "<i8").tobytes(), np.array(n_tokens, "<u8").tobytes()]
     for level in range(planes - 1, -1, -1):
-        ones = (a & a.dtype.type(1 << level)) != 0
+        ones = (a & a.dtype.type(1 << level)).astype(bool)
         packed = np.zeros(_plane_bytes(n), np.uint8)
         bits = np.packbits(ones, bitorder="little")
         packed[: len(bits)] = bits
         counts = np.bitwise_count(packed.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
-        before = np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)[:-1]]) if len(counts) else counts
-        low, high = a.compress(~ones), a.compress(ones)
-        out += [struct.pack("<Q", len(low)), before.astype("<u4").tobytes(), packed.tobytes()]
-        a = np.concatenate([low, high])
+        before = np.cumsum(counts, dtype=np.uint32) - counts
+        zeros = n - int(counts.sum())
+        low, high = 0, zeros
+        for start in range(0, n, STEP):  # index arrays of a step stay in the cache
+            own, part = ones[start : start + STEP], a[start : start + STEP]
+            off, on = np.flatnonzero(~own), np.flatnonzero(own)
+            part.take(off, out=b[low : low + len(off)], mode="clip")
+            part.take(on, out=b[high : high + len(on)], mode="clip")
+            low, high = low + len(off), high + len(on)
+        out += [struct.pack("<Q", zeros), before.astype("<u4").tobytes(), packed.tobytes()]
+        a, b = b, a
     return b"".join(out)
 
 
@@ -116,29 +125,48 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _place(self, plane: int, bit: int, k: int) -> int:
+        """The place of occurrence k (from 0) of a bit in a plane: its block by the directory, then its word and bit."""
+        before = self.before[plane].astype(np.int64)
+        if not bit:
+            before = np.arange(len(before), dtype=np.int64) * BLOCK - before
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        own = self.bits[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8]
+        at = np.flatnonzero(np.unpackbits(own, bitorder="little") == bit)
+        return block * BLOCK + int(at[k - before[block]])
+
     def select(self, token: int, k: int) -> int:
-        """The place of occurrence k (from 0) of a token."""
+        """The place of occurrence k (from 0) of a token: down to its run in the last plane's order, then up plane by plane."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        low, high = 0, self.n
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.rank(token, mid) > k else (mid, high)
-        return low
+        first, bits = 0, [token >> (self.planes - 1 - p) & 1 for p in range(self.planes)]
+        for p, bit in enumerate(bits):
+            ones = self._ones(p, first)
+            first = self.zeros[p] + ones if bit else first - ones
+        at = first + k
+        for p in range(self.planes - 1, -1, -1):
+            at = self._place(p, 1, at - self.zeros[p]) if bits[p] else self._place(p, 0, at)
+        return at
 
     def tokens(self) -> np.ndarray:
         """All ids, in one pass from the last plane up."""
         a = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
+        up = np.empty_like(a)
         for p in range(self.planes - 1, -1, -1):
-            ones = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
-            up = np.empty_like(a)
-            up[np.flatnonzero(~ones)] = a[: self.zeros[p]]
-            up[np.flatnonzero(ones)] = a[self.zeros[p] :] | a.dtype.type(1 << (self.planes - 1 - p))
-            a = up
+            low, high = 0, self.zeros[p]
+            a[high:] |= a.dtype.type(1 << (self.planes - 1 - p))
+            for start in range(0, self.n, STEP):
+                part = up[start : start + STEP]
+                own = np.unpackbits(self.bits[p][start // 8 : (start + STEP) // 8], count=len(part), bitorder="little").view(bool)
+                off, on = np.flatnonzero(~own), np.flatnonzero(own)
+                part[off] = a[low : low + len(off)]
+                part[on] = a[high : high + len(on)]
+                low, high = low + len(off), high + len(on)
+            a, up = up, a
         return a
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_tokens: int = 1 << 21) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_tokens: int = 1 << 22) -> None:
     """Write the shards of `docs (doc_id, text, ...)` in ascending doc_id order.
 
     A shard ends with the document that brings it to `shard_tokens` tokens. A null text is
@@ -149,26 +177,31 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
-        enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        runs: list[bytes] = []
+        enc, part, seq = encoder(tokenizer_path, end_id, checked), TaskContext.get().partitionId(), 0
+        runs: list[np.ndarray] = []
         doc_ids: list[int] = []
         sizes: list[int] = []
 
         def shard():
             nonlocal seq, runs, doc_ids, sizes
-            ids = np.frombuffer(b"".join(runs), "<u4")
+            ids = np.concatenate(runs)
             row = record_batch(schema, part=[part], seq=[seq], n_tokens=[len(ids)], payload=[build(ids, doc_ids, sizes)])
             seq, runs, doc_ids, sizes = seq + 1, [], [], []
             return row
 
         total = 0
-        for ids, texts in text_slices(batches):
-            for doc_id, raw in zip(ids, enc.ids(texts)):
-                runs += (raw, end)
-                doc_ids.append(doc_id)
-                sizes.append(len(raw) // 4 + 1)
-                total += sizes[-1]
+        for own, texts in text_slices(batches, chars=SLICE):
+            flat, counts = enc.encode(texts)
+            ends, first, start = np.cumsum(counts), 0, 0
+            while first < len(own):
+                # documents up to the one that fills the shard
+                last = min(len(own), int(np.searchsorted(ends, start + shard_tokens - total)) + 1)
+                stop = int(ends[last - 1])
+                runs.append(flat[start:stop].astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32))
+                doc_ids += own[first:last]
+                sizes += counts[first:last].tolist()
+                total += stop - start
+                first, start = last, stop
                 if total >= shard_tokens:
                     total = 0
                     yield shard()
@@ -176,12 +209,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
             yield shard()
 
     prepare(spark)
+    checked = encoder(tokenizer_path).merger is not None
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    # the planes are as dense as a codec would make them
-    ordered.mapInArrow(run, "part int, seq int, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
+    # the planes are as dense as a codec would make them; a file a shard
+    ordered.mapInArrow(run, "part int, seq int, n_tokens long, payload binary").write.options(compression="none", maxRecordsPerFile=1).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -193,13 +227,14 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
         for batch in batches:
             for part, seq, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 matrix = WaveletMatrix(payload.as_py())
-                raw = matrix.tokens().astype("<u4").tobytes()
+                raw = memoryview(matrix.tokens().astype("<u4").tobytes())
                 sizes = matrix.n_tokens.astype(np.int64)
                 ends = np.cumsum(sizes)
                 ids = [raw[4 * (e - n) : 4 * e] for n, e in zip(sizes.tolist(), ends.tolist())]
                 k = len(ids)
+                sums = [zlib.crc32(x) for x in ids]
                 yield record_batch(
-                    schema, part=[part] * k, seq=[seq] * k, doc_id=matrix.doc_ids, at=ends - sizes, n_tokens=sizes, ids_crc32=[zlib.crc32(x) for x in ids], ids=ids if with_ids else [None] * k
+                    schema, part=[part] * k, seq=[seq] * k, doc_id=matrix.doc_ids, at=ends - sizes, n_tokens=sizes, ids_crc32=sums, ids=[bytes(x) for x in ids] if with_ids else [None] * k
                 )
 
     shards = spark.read.schema("part int, seq int, n_tokens long, payload binary").parquet(path)
@@ -219,7 +254,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "wavelet")
     path = f"{scratch.path}/shards"
-    write_shards(docs, path, tokenizer_path, end_id)
-    out = cut(read_documents(spark, path, with_ids=False))
-    scratch.drop()
-    return out
+    try:
+        write_shards(docs, path, tokenizer_path, end_id)
+        return cut(read_documents(spark, path, with_ids=False))
+    finally:
+        scratch.drop()
