@@ -1,23 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are hashed words with inverse document frequencies over all documents. The latent
-space comes from a distributed randomised singular value decomposition of the TF-IDF
-matrix of the benchmark passages: executors multiply their rows of the matrix by a random
-test matrix and back, partial products are summed by blocks of terms, and the driver
-orthonormalises a matrix of fixed size (Halko, Martinsson and Tropp, 2011). Overlapping
-windows of every document are folded in, and window and passage of sufficient cosine are
-a candidate. Beside them, whatever the cosine, stands an exact filter: text that covers
-enough of a passage holds several of its rarest words close together, so the places of
-those words give every candidate that the rules below can accept in a run of up to `SPAN`
-times the passage's length, whatever that length is. A candidate counts if the longest common subsequence of words covers enough
-of the passage; a looser one, a paraphrase, also needs the passage's answer: most of the
-rare words of its last sentence, and most of its weight, must stand in the window.
+Terms are the words of the benchmark, with inverse document frequencies over all
+documents; any other word weighs as the mean term. The latent space comes from a
+distributed randomised singular value decomposition of the TF-IDF matrix of the benchmark
+passages: executors multiply their rows of the matrix by a random test matrix and back,
+partial products are summed by blocks of terms, and the driver orthonormalises a matrix
+of fixed size (Halko, Martinsson and Tropp, 2011). Overlapping windows of every document
+are folded in, and window and passage of sufficient cosine are a candidate. Beside them,
+whatever the cosine, stands an exact filter: text that covers enough of a passage holds
+several of its rarest words close together, so the places of those words give every
+candidate that the rules below can accept in a run of up to `SPAN` times the passage's
+length, whatever that length is.
+
+A candidate counts if in some such run the longest common subsequence of words covers
+enough of the passage; a looser one, a paraphrase, also needs the passage's answer: most
+of the rare words of its last sentence, and most of its weight, must stand in the run.
+Common words strewn over a long document are no copy, as a run is bounded.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,108 +28,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.llm.slices import lean, prepare, record_batch, text_hash, text_slices
+from echotrace.llm.slices import Vocabulary, kept_rows, lean, prepare, record_batch, text_slices
 
-TERMS = 1 << 17
 RANK = 64
+SLICE = 1_000_000  # bytes of texts searched at once
 CHUNK = 16  # words; a window is two chunks, and windows overlap by one
-ITEMS = 20_000  # benchmark passages sent out at once
+BLOCK_BYTES = 8 << 20  # of benchmark text sent out at once
 COSINE = 0.3  # or less, for a passage that the latent space keeps little of
-SHARED = 0.4  # share of a window's length that must lie on terms of the passages
 COVERED = 0.6  # share of the passage's words in the common subsequence
 LOOSE, ANSWER = 0.4, 0.75
 SHORT = 8  # words; a passage of fewer counts only as a whole
 SPAN = 2  # passage lengths that the words of a copy lie within; 1 for a short passage
-MEMO = 300_000
-WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?。？！])\s+|\n+")
 TERM_BLOCK = 1024
 
+words_of = Vocabulary.split
 
-class _Terms(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        t = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % TERMS
-        return t
 
-
-_terms = _Terms()
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def _texts(table: DataFrame, key: str) -> DataFrame:
+    return table.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def terms_of(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+def vocabulary(passages: DataFrame) -> Vocabulary:
+    """The distinct words of the passages: as many as the benchmark has, whatever the documents."""
+    schema = pa.schema([("term", pa.string())])
 
+    def run(batches):
+        for _, texts in text_slices(batches):
+            yield record_batch(schema, term=sorted(set().union(*map(words_of, texts))))
 
-def _texts(table: DataFrame, key: str) -> DataFrame:
-    return table.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = passages.mapInArrow(run, "term string").distinct().toArrow().column("term").to_pylist()
+    return Vocabulary(sorted(found))
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The inverse document frequency of every hashed term, over all rows of `docs`."""
+def inverse_frequencies(docs: DataFrame, terms: Vocabulary) -> np.ndarray:
+    """The inverse document frequency of every term over all rows of `docs`, and at the end the mean one, for other words."""
     schema = pa.schema([("term", pa.int32()), ("df", pa.int64())])
+    sent, n = docs.sparkSession.sparkContext.broadcast(terms), len(terms.words)
 
     def run(batches):
-        df = np.zeros(TERMS + 1, np.int64)
-        for _, texts in text_slices(batches):
-            for text in texts:
-                df[terms_of(list(set(words_of(text))))] += 1  # a term counts once, however often it is named
-                df[TERMS] += 1
+        df = np.zeros(n + 1, np.int64)
+        for _, texts in text_slices(batches, chars=SLICE):
+            row, sizes = sent.value.numbers(texts)
+            known = np.flatnonzero(row < n)
+            own = np.repeat(np.arange(len(texts)) * n, sizes)[known] + row[known]
+            # a term counts once, however often a text names it
+            if len(texts) * n <= 1 << 23:
+                held = np.zeros(len(texts) * n, bool)
+                held[own] = True
+                df[:n] += np.count_nonzero(held.reshape(-1, n), axis=0)
+            else:
+                df[:n] += np.bincount(np.unique(own) % n, minlength=n)
+            df[n] += len(texts)
         held = np.flatnonzero(df)
         yield record_batch(schema, term=held, df=df[held])
 
-    rows = _texts(docs, "doc_id").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row a term
-    df = np.zeros(TERMS + 1)
-    for r in rows:
-        df[r["term"]] = r["df"]
-    return np.log((df[TERMS] + 1) / (df[:TERMS] + 1)).astype(np.float32) + np.float32(0.01)
+    found = _texts(docs, "doc_id").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+    df = np.zeros(n + 1)
+    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    idf = np.log((df[n] + 1) / (df[:n] + 1)) + 0.01
+    return np.append(idf, idf.mean()).astype(np.float32)
 
 
-def _weights(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(words: list[str], terms: Vocabulary, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a passage and their unit-length weights."""
-    terms, counts = np.unique(terms_of(words_of(text)), return_counts=True)
-    w = counts * idf[terms].astype(np.float64)
-    return terms, w / max(np.sqrt((w * w).sum()), 1e-12)
-
+    own, counts = np.unique(np.array([terms.number[w] for w in words], np.int64), return_counts=True)
+    w = counts * idf[own].astype(np.float64)
+    return own, w / max(np.sqrt((w * w).sum()), 1e-12)
 
-def passage_terms(passages: DataFrame) -> np.ndarray:
-    """The sorted hashed terms of the passages, at most `TERMS`."""
-    schema = pa.schema([("term", pa.int32())])
 
-    def run(batches):
-        held = np.zeros(TERMS, bool)
-        for _, texts in text_slices(batches):
-            for text in texts:
-                held[terms_of(words_of(text))] = True
-        yield record_batch(schema, term=np.flatnonzero(held))
-
-    return np.array(sorted(r["term"] for r in passages.mapInArrow(run, "term int").distinct().collect()), np.int64)
-
-
-def latent_space(passages: DataFrame, idf: np.ndarray, terms: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """An orthonormal basis (len(terms) x rank) of the leading right singular vectors of the passages."""
-    sent = passages.sparkSession.sparkContext.broadcast((idf, terms))
-    rank = max(1, min(rank, len(terms)))
+def latent_space(passages: DataFrame, terms: Vocabulary, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
+    """An orthonormal basis (terms x rank) of the leading right singular vectors of the passages."""
+    sent = passages.sparkSession.sparkContext.broadcast((terms, idf))
+    n = len(terms.words)
+    rank = max(1, min(rank, n))
     schema = pa.schema([("block", pa.int32()), ("part", pa.binary())])
 
     def products(basis):
         def run(batches):
-            idf, terms = sent.value
-            n = len(terms)
+            terms, idf = sent.value
             q = np.random.default_rng(seed).standard_normal((n, rank)) if basis is None else basis.value
             out = np.zeros((n if basis is None else rank, rank))
             for _, texts in text_slices(batches):
                 for text in texts:
-                    own, w = _weights(text, idf)
+                    own, w = _weights(words_of(text), terms, idf)
                     if len(own):
-                        at = np.searchsorted(terms, own)
-                        row = w @ q[at]
+                        row = w @ q[own]
                         if basis is None:
-                            out[at] += w[:, None] * row
+                            out[own] += w[:, None] * row
                         else:
                             out += row[:, None] * row
             for i in range(0, len(out), TERM_BLOCK):
@@ -161,22 +150,22 @@ def common_subsequence(a: list, b: list) -> int:
 
 @dataclass
 class Passages:
-    """Benchmark passages to search for."""
+    """Benchmark passages to search for; words are numbers of `terms`."""
 
+    terms: Vocabulary
     ids: list[int]
-    words: list[list[str]]
-    answers: list[set[str]]
+    words: list[list[int]]
+    answers: list[set[int]]
     vectors: np.ndarray
     least: np.ndarray  # the cosine that makes a candidate
-    idf: np.ndarray
-    row: np.ndarray  # of a term in `folded`, whose last row is zero
-    folded: np.ndarray  # idf times basis
+    idf: np.ndarray  # of each term, and at the end of any other word
+    folded: np.ndarray  # idf times basis, and a last row of zeros
     near: np.ndarray  # the rare words of a passage that a copy of it holds at least
     span: np.ndarray  # the run of words that holds them
-    begin: np.ndarray  # of a term's passages in `rare`, by row
+    begin: np.ndarray  # of a term's passages in `rare`
     rare: np.ndarray  # the passages that a term is a rare word of
 
-    def verdict(self, item: int, segment: list[str]) -> float:
+    def verdict(self, item: int, segment: list[int]) -> float:
         """The covered share of the passage if the segment holds it, else 0."""
         words, held = self.words[item], set(segment)
         if sum(map(held.__contains__, words)) < LOOSE * len(words):
@@ -188,15 +177,24 @@ class Passages:
             return share
         if share < LOOSE:
             return 0.0
-        weight = self.idf[terms_of(words)]
+        weight = self.idf[words]
         inside = np.array([w in held for w in words])
         answer = self.answers[item]
         found = weight[inside].sum() >= COVERED * weight.sum() and len(answer & held) >= ANSWER * len(answer)
         return share if found else 0.0
 
+    def best_run(self, item: int, region: list[int]) -> float:
+        """The best verdict on a run of the region: of `span` words, and `2 * CHUNK` more between steps of as many; a short passage goes word by word."""
+        best = self.verdict(item, region)
+        step = 2 * CHUNK if len(self.words[item]) >= SHORT else 1
+        run = int(self.span[item]) + (step if step > 1 else 0)
+        if best and len(region) > run:
+            best = max(self.verdict(item, region[i : i + run]) for i in range(0, len(region) - run + step, step))
+        return best
+
 
-def rare_words(words: list[str], idf: np.ndarray) -> tuple[set[int], int]:
-    """Terms of the rarest words of a passage, and how many places of a run must hold one of them if the run holds the passage.
+def rare_words(words: list[int], idf: np.ndarray) -> tuple[set[int], int]:
+    """The rarest words of a passage, and how many places of a run must hold one of them if the run holds the passage.
 
     A run that covers `need` of n words misses at most n - need of them, so it holds m of any
     n - need + m. A run that covers `COVERED` of the weight misses less than the rest of it,
@@ -205,53 +203,52 @@ def rare_words(words: list[str], idf: np.ndarray) -> tuple[set[int], int]:
     n = len(words)
     need = n if n < SHORT else int(np.ceil(COVERED * n - 1e-9))
     m = min(need, max(2, n // 8))
-    ordered = sorted(words, key=lambda w: (-idf[_terms[w]], w))
+    ordered = sorted(words, key=lambda w: (-idf[w], w))
     take = n - need + m
     if n >= SHORT:
-        weight = idf[terms_of(ordered)].astype(np.float64)
-        each: dict[str, float] = {}
+        weight = idf[ordered].astype(np.float64)
+        each: dict[int, float] = {}
         for w, x in zip(ordered, weight.tolist()):
             each[w] = each.get(w, 0.0) + x
         heaviest = sum(sorted(each.values(), reverse=True)[: m - 1])
         enough = (1 - COVERED + 1e-4) * weight.sum() + heaviest
         take = max(take, int(np.searchsorted(np.cumsum(weight), enough, side="right")) + 1)
-    return {_terms[w] for w in ordered[:take]}, m
-
-
-def passages_of(rows: list[tuple[int, str]], idf: np.ndarray, all_terms: np.ndarray, basis: np.ndarray) -> Passages:
-    ids, words, answers, vectors, rare, near = [], [], [], [], [], []
-    for item_id, text in rows:
-        w = words_of(text)
-        if not w:
-            continue
+    return set(ordered[:take]), m
+
+
+def passages_of(rows: list[tuple[int, str]], all_terms: Vocabulary, all_idf: np.ndarray, basis: np.ndarray) -> Passages:
+    """The passages `(item_id, text)`, with the terms that they have themselves."""
+    rows = [(i, text, words) for i, text in rows if (words := words_of(text))]
+    terms = Vocabulary(sorted(set().union(*(words for _, _, words in rows))))
+    of = np.array([all_terms.number[w] for w in terms.words], np.int64)
+    idf, own_basis = np.append(all_idf[of], all_idf[-1]), basis[of]
+    ids, numbers, answers, vectors, rare, near = [], [], [], [], [], []
+    for item_id, text, words in rows:
+        w = [terms.number[x] for x in words]
         last = [s for s in SENTENCE.split(text.strip()) if words_of(s)][-1]
-        own = sorted(set(words_of(last)), key=lambda x: (-idf[_terms[x]], x))
-        terms, weight = _weights(text, idf)
+        own = sorted({terms.number[x] for x in words_of(last)}, key=lambda x: (-idf[x], x))
+        held, weight = _weights(words, terms, idf)
         ids.append(item_id)
-        words.append(w)
+        numbers.append(w)
         answers.append(set(own[: max(1, (len(own) + 1) // 2)]))
-        vectors.append(weight @ basis[np.searchsorted(all_terms, terms)])
+        vectors.append(weight @ own_basis[held])
         some, m = rare_words(w, idf)
-        rare += [(int(t), len(near)) for t in some]
+        rare += [(t, len(near)) for t in some]
         near.append(m)
     v = np.array(vectors, np.float32).reshape(len(ids), basis.shape[1])
-    row = np.full(TERMS, len(all_terms), np.int32)
-    row[all_terms] = np.arange(len(all_terms))
-    folded = np.concatenate([idf[all_terms, None] * basis, np.zeros((1, basis.shape[1]), np.float32)])
-    rare_row, rare_item = np.array(sorted(rare), np.int64).reshape(-1, 2).T
-    begin = np.searchsorted(row[rare_row], np.arange(len(all_terms) + 2))  # terms and their rows are in one order
-    span = np.array([len(w) * (SPAN if len(w) >= SHORT else 1) for w in words], np.int64)
+    folded = np.concatenate([idf[:-1, None] * own_basis, np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
+    rare_term, rare_item = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+    begin = np.searchsorted(rare_term, np.arange(len(terms.words) + 2))
+    span = np.array([len(w) * (SPAN if len(w) >= SHORT else 1) for w in numbers], np.int64)
     least = np.minimum(COSINE, 0.45 * (v * v).sum(axis=1))
-    return Passages(ids, words, answers, v, least, idf, row, folded, np.array(near, np.int64), span, begin, rare_item.copy())
+    return Passages(terms, ids, numbers, answers, v, least, idf, folded, np.array(near, np.int64), span, begin, rare_item.copy())
 
 
-def copies(split: list[list[str]], sizes: np.ndarray, row: np.ndarray, known: Passages) -> dict[tuple[int, int], float]:
-    """The covered share of each (text, passage) where a run of the passage's `span` of words holds it.
+Regions = list[tuple[int, int, int, int]]
 
-    Runs are tried with `2 * CHUNK` words more, in steps of as many, so that each run of
-    `span` words lies in one of them; a short passage is tried word by word. `row` has the
-    rows of the texts' words one after the other.
-    """
+
+def copies(row: np.ndarray, sizes: np.ndarray, known: Passages) -> Regions:
+    """`(text, passage, from, to)` where a run of the passage's `span` of words can hold it, by its rarest words."""
     many = known.begin[row + 1] - known.begin[row]
     at = np.flatnonzero(many)
     many = many[at]
@@ -266,48 +263,15 @@ def copies(split: list[list[str]], sizes: np.ndarray, row: np.ndarray, known: Pa
     ends = np.cumsum(sizes)
     owner = np.searchsorted(ends, place[inside], side="right")
     same = place[last] < ends[owner]
-    found: dict[tuple[int, int], float] = {}
-    regions: list[list[int]] = []
-    rows = zip(owner[same].tolist(), item[inside][same].tolist(), place[inside][same].tolist(), place[last][same].tolist())
-    for text, k, first, end in rows:
-        start, span = int(ends[text] - sizes[text]), int(known.span[k])
-        low, high = max(0, end - start - span + 1), first - start + span
-        if regions and regions[-1][:2] == [text, k] and low <= regions[-1][3]:
-            regions[-1][3] = max(high, regions[-1][3])
-        else:
-            regions.append([text, k, low, high])
-    for text, k, low, high in regions:
-        words, n = split[text][low:high], len(known.words[k])
-        best = known.verdict(k, words)
-        step = 2 * CHUNK if n >= SHORT else 1
-        run = int(known.span[k]) + (step if n >= SHORT else 0)
-        if best and len(words) > run:
-            best = max(known.verdict(k, words[i : i + run]) for i in range(0, len(words) - run + step, step))
-        if best > found.get((text, k), 0.0):
-            found[text, k] = best
-    return found
+    owner, item, first, end = owner[same], item[inside][same], place[inside][same], place[last][same]
+    start, span = (ends - sizes)[owner], known.span[item]
+    return list(zip(owner.tolist(), item.tolist(), np.maximum(0, end - start - span + 1).tolist(), (first - start + span).tolist()))
 
 
-def search(texts: list[str | None], known: Passages) -> list[list[tuple[int, float]]]:
-    """For each text, the passages it holds as (number, covered share)."""
-    split = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in split])
-    if not sizes.sum() or not known.ids:
-        return [[] for _ in texts]
-    terms = np.concatenate([terms_of(w) for w in split if w])
-    row = known.row[terms]
-    found = copies(split, sizes, row, known)
-    similar(split, sizes, terms, row, known, found)
-    hits: list[list[tuple[int, float]]] = [[] for _ in texts]
-    for (text, item), share in found.items():
-        hits[text].append((item, share))
-    return hits
-
-
-def similar(split: list[list[str]], sizes: np.ndarray, terms: np.ndarray, row: np.ndarray, known: Passages, found: dict[tuple[int, int], float]) -> None:
-    """Adds to `found` what windows of sufficient cosine hold."""
+def similar(row: np.ndarray, sizes: np.ndarray, known: Passages) -> Regions:
+    """`(text, passage, from, to)` around windows whose cosine with the passage suffices."""
     chunks = -(-sizes // CHUNK)
-    owner = np.repeat(np.arange(len(split)), chunks)  # the text of each chunk
+    owner = np.repeat(np.arange(len(sizes)), chunks)  # the text of each chunk
     place = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
     starts = np.repeat(np.cumsum(sizes) - sizes, chunks) + place * CHUNK
     follows = np.append(owner[1:] == owner[:-1], False)  # the next chunk is of the same text
@@ -317,22 +281,23 @@ def similar(split: list[list[str]], sizes: np.ndarray, terms: np.ndarray, row: n
         out[follows] += x[1:][follows[:-1]]
         return out
 
-    square = known.idf[terms] ** 2
-    shared = row < len(known.folded) - 1
-    norm = np.maximum(windows(np.add.reduceat(square, starts)), 1e-12)
+    other = len(known.folded) - 1
+    square = known.idf**2
+    norm = np.maximum(windows(np.add.reduceat(square[row], starts)), 1e-12)
     # a window's cosine with any passage is at most the share of its length on terms of the passages
-    bound = np.sqrt(windows(np.add.reduceat(np.where(shared, square, 0), starts)) / norm)
-    near = np.flatnonzero(bound >= SHARED)
+    square[other] = 0
+    bound = np.sqrt(windows(np.add.reduceat(square[row], starts)) / norm)
+    near = np.flatnonzero(bound >= known.least.min())
     if not len(near):
-        return
+        return []
     need = np.zeros(len(owner) + 1, bool)
     need[near] = True
     need[near[follows[near]] + 1] = True
     chosen = np.flatnonzero(need[:-1])
     # the words of a chunk side by side; a chunk's missing words are the zero row
-    ends = np.append(starts[1:], len(terms))[chosen]
+    ends = np.append(starts[1:], len(row))[chosen]
     at = starts[chosen, None] + np.arange(CHUNK)
-    own = np.where(at < ends[:, None], row[np.minimum(at, len(terms) - 1)], len(known.folded) - 1)
+    own = np.where(at < ends[:, None], row[np.minimum(at, len(row) - 1)], other)
     sums = np.zeros((len(owner) + 1, known.folded.shape[1]), np.float32)
     for i in range(0, len(chosen), 512):
         sums[chosen[i : i + 512]] = known.folded[own[i : i + 512]].sum(axis=1)
@@ -340,75 +305,100 @@ def similar(split: list[list[str]], sizes: np.ndarray, terms: np.ndarray, row: n
     two /= np.sqrt(norm[near])[:, None]
     rows, items = np.nonzero(two @ known.vectors.T >= known.least)
     rows = near[rows]
-    spans: dict[tuple[int, int], list[int]] = {}
-    for c, item in zip(rows.tolist(), items.tolist()):
-        spans.setdefault((int(owner[c]), item), []).append(int(place[c]))
-    for (text, item), at in spans.items():
-        reach, words, best = len(known.words[item]), split[text], found.get((text, item), 0.0)
-        if best == 1:
-            continue
-        first = last = at[0]
-        for p in [*at[1:], None]:
-            if p is not None and (p - last) * CHUNK <= CHUNK + reach:
-                last = p
-                continue
-            best = max(best, known.verdict(item, words[max(0, first * CHUNK - reach) : (last + 2) * CHUNK + reach]))
-            first = last = p
-        if best:
-            found[text, item] = best
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, hashed: bool = False) -> DataFrame:
+    low, span = place[rows] * CHUNK, known.span[items]
+    return list(zip(owner[rows].tolist(), items.tolist(), np.maximum(0, low - span).tolist(), (low + 2 * CHUNK + span).tolist()))
+
+
+def search(texts: list[str | None], known: Passages) -> list[list[tuple[int, float]]]:
+    """For each text, the passages it holds as (number, covered share)."""
+    hits: list[list[tuple[int, float]]] = [[] for _ in texts]
+    if not known.ids:
+        return hits
+    row, sizes = known.terms.numbers(texts)
+    if not len(row):
+        return hits
+    regions = sorted(copies(row, sizes, known) + similar(row, sizes, known))
+    starts = np.cumsum(sizes) - sizes
+    best: dict[tuple[int, int], float] = {}
+    i = 0
+    while i < len(regions):
+        text, item, low, high = regions[i]
+        i += 1
+        while i < len(regions) and regions[i][:2] == (text, item) and regions[i][2] <= high:  # regions that touch are one
+            high = max(high, regions[i][3])
+            i += 1
+        start = int(starts[text])
+        share = known.best_run(item, row[start + low : start + min(high, int(sizes[text]))].tolist())
+        if share > best.get((text, item), 0.0):
+            best[text, item] = share
+    for (text, item), share in best.items():
+        hits[text].append((item, share))
+    return hits
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame):
+    """Broadcast blocks of passages, of `BLOCK_BYTES` of text each or about that; none if the benchmark has no words."""
+    spark = docs.sparkSession
+    items = _texts(benchmark, "item_id").where("doc_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    terms = vocabulary(items) if size else Vocabulary([])
+    if not terms.words:
+        return []
+    idf = inverse_frequencies(docs, terms)
+    basis = latent_space(items, terms, idf)
+    slices = -(-size // BLOCK_BYTES)
+    blocks = []
+    for i in range(slices):
+        some = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == i) if slices > 1 else items
+        rows = sorted((r["doc_id"], r["text"]) for r in some.toLocalIterator())
+        blocks.append(spark.sparkContext.broadcast(passages_of(rows, terms, idf, basis)))
+    return blocks
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`(doc_id, contaminated, n_items, item_ids, best_item, best_share)` of the documents that hold a passage.
 
     `docs` has doc_id and text, `benchmark` item_id and text; other columns are ignored.
     There is a row for each row of `docs` that holds a passage. Null and empty texts hold
     none and, on the benchmark side, are none. Rows with a null doc_id are searched like
     others and returned with a null id. Ties for the best passage go to the smaller item_id.
-    Passages are sent out `ITEMS` at a time, each time with a pass over the documents. With
-    `hashed`, `text_hash` of the document follows.
+    All blocks of passages are searched in one pass over the documents.
     """
     spark = docs.sparkSession
     prepare(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("best_item", pa.int64()), ("best_share", pa.float64())])
     ddl = "doc_id long, contaminated boolean, n_items long, item_ids array<long>, best_item long, best_share double"
-    keys = ["doc_id"]
-    if hashed:
-        schema, ddl, keys = schema.append(pa.field("text_hash", pa.int64())), f"{ddl}, text_hash long", ["doc_id", "text_hash"]
-    own, items = _texts(docs, "doc_id"), _texts(benchmark, "item_id").where("doc_id is not null and text is not null")
-    n_items = items.count()
-    if not n_items:
-        return spark.createDataFrame([], ddl)
-    idf = inverse_frequencies(docs)
-    terms = passage_terms(items)
-    if not len(terms):
+    blocks = _blocks(docs, benchmark)
+    if not blocks:
         return spark.createDataFrame([], ddl)
-    basis = latent_space(items, idf, terms)
-    found = None
-    slices = -(-n_items // ITEMS)
-    for i in range(slices):
-        some = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == i) if slices > 1 else items
-        rows = sorted((r["doc_id"], r["text"]) for r in some.collect())
-        sent = spark.sparkContext.broadcast(passages_of(rows, idf, terms, basis))
-
-        def run(batches, sent=sent):
-            known = sent.value
-            for *ids, texts in text_slices(batches, (*keys, "text")):
-                out = {name: [] for name in schema.names}
-                for hits, *key in zip(search(texts, known), *ids):
-                    if hits:
-                        held = sorted((-share, known.ids[k]) for k, share in hits)
-                        ranked = sorted({k for _, k in held})
-                        for name, value in zip(schema.names, (key[0], True, len(ranked), ranked, held[0][1], -held[0][0], *key[1:])):
-                            out[name].append(value)
-                yield record_batch(schema, **out)
-            lean()
-
-        part = (own.withColumn("text_hash", text_hash(F.col("text"))) if hashed else own).mapInArrow(run, ddl)
-        found = part if found is None else found.unionByName(part)
-    if slices > 1:
-        best = F.min(F.struct((-F.col("best_share")).alias("s"), "best_item"))
-        found = found.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("b")).select(
-            "doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("b.best_item").alias("best_item"), (-F.col("b.s")).alias("best_share"), *keys[1:]
-        )
-    return found
+
+    def run(batches):
+        for ids, texts in text_slices(batches, chars=SLICE):
+            held: list[list[tuple[float, int]]] = [[] for _ in texts]
+            for sent in blocks:
+                for own, hits in zip(held, search(texts, sent.value)):
+                    own += [(-share, sent.value.ids[k]) for k, share in hits]
+            out = {name: [] for name in schema.names}
+            for doc_id, own in zip(ids, held):
+                if own:
+                    ranked = sorted({k for _, k in own})
+                    for name, value in zip(schema.names, (doc_id, True, len(ranked), ranked, min(own)[1], -min(own)[0])):
+                        out[name].append(value)
+            yield record_batch(schema, **out)
+        lean()
+
+    return _texts(docs, "doc_id").mapInArrow(run, ddl)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that hold no passage of `benchmark`, as they are."""
+    prepare(docs.sparkSession)
+    blocks = _blocks(docs, benchmark)
+
+    def keeps(texts):
+        flags = [True] * len(texts)
+        for sent in blocks:
+            flags = [ok and not hits for ok, hits in zip(flags, search(texts, sent.value))]
+        return flags
+
+    return kept_rows(docs, keeps) if blocks else docs

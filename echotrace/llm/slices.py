@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from echotrace.session import ship
 
@@ -28,11 +30,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def text_hash(text: Column) -> Column:
-    """Tells rows that repeat a doc_id apart by their texts; a null text counts as an empty one."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def lean() -> None:
     """Let a Python worker give freed memory back: idle workers live on between tasks."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -61,3 +58,58 @@ def text_slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: i
 
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def kept_rows(docs: DataFrame, keeps: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of `docs` whose `text` passes `keeps`, as they are: no join, so null and repeated ids make no difference."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+            slim = pa.RecordBatch.from_arrays([texts], ["text"])
+            flags = [bool(x) for (some,) in text_slices([slim], ("text",)) for x in keeps(some)]
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+class Vocabulary:
+    """Numbers of known words, in place, over whole texts; any other word has the number `len(words)`.
+
+    Words are `[^\\W_]+` of the lower-cased text. A batch of texts is split at blanks, its distinct
+    pieces are split into words and numbered, and the numbers are gathered by array operations.
+    """
+
+    WORD = re.compile(r"[^\W_]+")
+    GAPPED = re.compile(r"[^\W_]+|\0")
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.number = {w: i for i, w in enumerate(words)} | {"\0": -1}
+
+    def __getstate__(self):
+        return self.words
+
+    def __setstate__(self, words):
+        self.__init__(words)
+
+    @classmethod
+    def split(cls, text: str | None) -> list[str]:
+        return cls.WORD.findall((text or "").lower())
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of the texts one after the other, and how many words each text has."""
+        lowered = [(t or "").lower() for t in texts]
+        lowered = [t.replace("\0", " ") if "\0" in t else t for t in lowered]
+        pieces = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self.GAPPED.findall("\0".join(distinct) + "\0") if distinct else []
+        known = np.fromiter(map(self.number.get, found, repeat(len(self.words))), np.int64, len(found))
+        gaps = np.flatnonzero(known < 0)
+        sizes = np.diff(gaps, prepend=-1) - 1
+        store, at = known[known >= 0], coded.indices.to_numpy()
+        n = sizes[at]
+        after = np.append(0, np.cumsum(n))
+        numbers = store[np.repeat((np.cumsum(sizes) - sizes)[at] - after[:-1], n) + np.arange(after[-1])]
+        return numbers, np.diff(after[np.cumsum(pc.list_value_length(pieces).to_numpy())], prepend=0)

@@ -64,3 +64,25 @@ def test_near_copies_equal_brute_force(spark):
 def test_short_passages_count_word_for_word(spark):
     docs = [(0, "a red fox came by".split()), (1, "a red dog and a fox".split()), (2, "fox red".split()), (3, "x red fox".split())]
     assert found(spark, docs + [(9 + i, [f"n{i}"]) for i in range(20)], [(1, "red fox".split())]) >= {(0, 1), (3, 1)}
+
+
+def test_words_strewn_over_a_long_text_are_no_copy(spark):
+    rng = random.Random(24)
+    passage = [f"c{i}" for i in range(24)]
+    strewn = [x for w in passage for x in (w, *(f"f{rng.randrange(50)}" for _ in range(30)))]
+    docs = [(0, strewn), (1, strewn + passage)] + [(2 + i, [f"f{rng.randrange(50)}" for _ in range(200)]) for i in range(60)]
+    assert found(spark, docs, [(1, passage)]) == {(1, 1)}
+
+
+def test_blocks_of_passages_and_odd_rows(spark, monkeypatch):
+    rng = random.Random(25)
+    items = [(k, words(rng, 30, 2000)) for k in range(40)]
+    docs = [(i, planted(rng, words(rng, 80, 2000), items[i % 40][1]) if i % 2 else words(rng, 80, 2000)) for i in range(200)]
+    want = found(spark, docs, items)
+    assert want >= {(i, i % 40) for i in range(1, 200, 2)}
+    monkeypatch.setattr(lsa, "BLOCK_BYTES", 1000)
+    assert found(spark, docs, items) == want
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + [(1, "another text"), (None, " ".join(items[0][1])), (None, None), (700, "a\0b " * 90_000)], DOC).withColumn("item_id", lsa.F.lit(1))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEM)
+    kept = lsa.clean(frame, bench)
+    assert kept.columns == frame.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in range(0, 200, 2)] + [(False, 1), (True, 0), (False, 700)])
