@@ -2,7 +2,7 @@
 
 A first set of linear support vector machines tells the language family of a text; within
 a family, one machine for each pair of languages votes, weighted by margin. Features are
-the shares of hashed character 1- to 3-grams of the words, so a text's margins are the
+the shares of hashed 1- to 3-grams of the code points of words, so a text's margins are the
 mean over its words of the margins of each word, and a word is scored once and then
 looked up. The whole text counts.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm.linear import fit_slope, fit_svm
-from echotrace.llm.slices import lean, prepare, record_batch, text_hash, text_slices
+from echotrace.llm.slices import kept_rows, lean, prepare, record_batch, text_slices
 
 DIMS = 4096
 SAMPLE = 2000
@@ -49,9 +49,9 @@ def family(lang: str) -> str:
 
 
 def word_features(word: str) -> list[int]:
-    """Numbers of the hashed 1- to 3-grams of a lower-cased word with its ends marked."""
-    w = f"^{word}$".encode()
-    return [zlib.crc32(w[i : i + n]) % DIMS for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+    """Numbers of the hashed 1- to 3-grams of code points of a lower-cased word with its ends marked."""
+    w = f"^{word}$".encode("utf-32-le", "surrogatepass")
+    return [zlib.crc32(w[i : i + n]) % DIMS for n in (4, 8, 12) for i in range(0, len(w) - n + 1, 4)]
 
 
 def text_words(text: str | None) -> list[str]:
@@ -153,19 +153,30 @@ def fit(docs: DataFrame, trains: Column, sample: int = SAMPLE) -> Model:
         for langs, texts in text_slices(batches, ("lang", "text")):
             yield record_batch(schema, lang=langs, x=[profile(t).astype("<f2").tobytes() for t in texts])
 
-    got = some.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()  # at most `sample` or 20 a language
-    got = [r for r in sorted(got, key=lambda r: (r["lang"], r["x"])) if any(r["x"])]
-    langs = sorted({r["lang"] for r in got})
+    table = some.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()  # at most `sample` or 20 a language
+    got = sorted((lang, x) for lang, x in zip(table.column("lang").to_pylist(), table.column("x").to_pylist()) if any(x))
+    del table
+    langs = sorted({lang for lang, _ in got})
     if not langs:
         return Model([], [], [], np.zeros((DIMS, 0)), np.zeros(0), np.zeros(0))
-    y = np.array([langs.index(r["lang"]) for r in got])
-    x = np.array([np.frombuffer(r["x"], "<f2") for r in got], np.float32)
-    return fit_model(x, y, langs)
+    y = np.array([langs.index(lang) for lang, _ in got])
+    x = np.empty((len(got), DIMS + 1), np.float32)
+    x[:, DIMS] = 1
+    while got:
+        x[len(got) - 1, :DIMS] = np.frombuffer(got.pop()[1], "<f2")
+    model = fit_model(x, y, langs)
+    del x
+    lean()  # the driver gives the matrix back
+    return model
 
 
 def fit_model(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
-    mean, std = x.mean(axis=0), np.sqrt(x.var(axis=0) + 1e-8)
-    z = (x - mean) / std / np.sqrt(x.shape[1])
+    """A model from profiles, whose last column is one; `x` is standardised in place."""
+    z, x = x, x[:, :-1]
+    mean = x.mean(axis=0)
+    std = np.array([np.sqrt(x[:, i : i + 256].var(axis=0) + 1e-8) for i in range(0, x.shape[1], 256)]).reshape(-1)
+    x -= mean
+    x /= std * np.float32(np.sqrt(x.shape[1]))
     families = sorted({family(lang) for lang in langs})
     of = np.array([families.index(family(lang)) for lang in langs])[y]
     tasks = [(np.ones(len(y), bool), np.where(of == f, 1.0, -1.0)) for f in range(len(families))]
@@ -177,8 +188,9 @@ def fit_model(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
         if len(set(label)) == 1:  # a single family: nothing to tell apart
             w, b, a = np.zeros(x.shape[1]), float(label[0]), 1.0
         else:
-            w, b = fit_svm(z[rows], label, c=100.0)
-            a = fit_slope(z[rows] @ w + b, label)
+            own = z if rows.all() else z[rows]
+            w, b = fit_svm(own, label, c=100.0)
+            a = fit_slope(own[:, :-1] @ w + b, label)
         scaled = w / std / np.sqrt(x.shape[1])
         weights.append(scaled)
         bias.append(b - float(mean @ scaled))
@@ -186,28 +198,32 @@ def fit_model(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     return Model(langs, families, pairs, np.array(weights).T.copy(), np.array(bias), np.array(slope))
 
 
-def identify(docs: DataFrame, model: Model, hashed: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`(doc_id, lang_pred, score)`, one row per row of `docs (doc_id, text, ...)`.
 
     A null text, or one without letters, is `und` with score 0; so is everything if the
     model has seen no language. Null and repeated ids are predicted like any other row.
-    Only the text is looked at. With `hashed`, `text_hash` follows.
+    Only the text is looked at.
     """
     prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    keys = ["doc_id"]
-    if hashed:
-        schema, keys = schema.append(pa.field("text_hash", pa.int64())), ["doc_id", "text_hash"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x margins doubles, whatever the input
 
     def run(batches):
-        for *own, texts in text_slices(batches, (*keys, "text")):
+        for ids, texts in text_slices(batches):
             found = sent.value.predict(texts)
-            yield record_batch(schema, **dict(zip(keys, own)), lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            yield record_batch(schema, doc_id=ids, lang_pred=[f[0] for f in found], score=[f[1] for f in found])
         lean()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([text_hash(F.col("text")).alias("text_hash")] if hashed else []), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double" + (", text_hash long" if hashed else ""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs` whose text is in a language with a score of at least `least`, as they are; `und` never is."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda texts: [lang != UNKNOWN and score >= least for lang, score in sent.value.predict(texts)])
 
 
 def held_out(residues: int, residue: int) -> Column:

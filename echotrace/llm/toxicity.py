@@ -2,11 +2,13 @@
 
 Voters come from labelled training rows: lexicon words and word-start patterns that stand
 in toxic documents and hardly in others, and a voter that votes clean where all of that
-is missing. A generative label model estimates by
-expectation-maximisation, with the given label as one more and fallible voter, how each
-voter votes on toxic and on clean documents, and from the residuals how voters correlate; a voter's evidence
-is shared with those it correlates with. A logistic regression on words and word starts
-is trained on the posterior labels and scores every document.
+is missing. A generative label model estimates by expectation-maximisation, with the given
+label as one more and fallible voter, how each voter and the given label vote on toxic and
+on clean documents, and from the residuals how voters correlate; a voter's evidence is
+shared with those it correlates with. A logistic regression is trained on the posterior
+labels and scores every document; its features are all words and word starts that stand
+in `SUPPORT` toxic documents of the sample, and clearly more often there than in others,
+whether or not they are voters.
 
 Everything is fitted on the driver, on at most `sample` labelled documents, a third of
 them toxic, those of the smallest hash of doc_id. Only distinct words of their texts are
@@ -32,8 +34,9 @@ from echotrace.llm.slices import lean, prepare, record_batch, text_slices
 SAMPLE = 6000
 MEMO = 200_000
 STARTS = (4, 5, 6, 7)
-MAX_VOTERS = 256
-TRUST = 0.95
+SUPPORT = 3  # toxic documents that a feature of the classifier stands in, counting copies once
+FIRST_TRUST, LEAST_TRUST, MOST_TRUST = 0.95, 0.8, 0.99  # accuracy of the given label: where its estimate starts, and its bounds
+RIDGE = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,18 +52,21 @@ def marks(word: str) -> list[str]:
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior probability of label 1 for rows of votes in -1 (clean), 0 (abstains), 1 (toxic).
 
-    `start` has the given labels, one more voter, whose accuracy is fixed at `TRUST`: without
-    it, evidence that stands alone in its documents would fade. An abstaining voter says nothing. Rates carry
-    half a vote of prior each, and a voter is taken to be no worse than chance.
+    `start` has the given labels, one more voter that never abstains; its accuracy on each
+    label is estimated like any other's, within bounds, so that evidence that stands alone in its
+    documents does not fade. An abstaining voter says nothing. Rates carry half a vote of
+    prior each, and a voter is taken to be no worse than chance.
     """
     n, m = votes.shape
     said = np.stack([votes == -1, votes == 1], axis=2).astype(np.float64)
-    post = np.clip(start, 0.02, 0.98)
-    balance = float(post.mean())
-    prior = math.log(balance / (1 - balance)) + np.where(start > 0.5, 1, -1) * math.log(TRUST / (1 - TRUST))
+    post = np.where(start > 0.5, FIRST_TRUST, 1 - FIRST_TRUST)
     for _ in range(rounds):
         on = (np.einsum("i,ijv->jv", post, said) + 0.5) / (post.sum() + 1)
         off = (np.einsum("i,ijv->jv", 1 - post, said) + 0.5) / ((1 - post).sum() + 1)
+        right_on = np.clip(((post * start).sum() + FIRST_TRUST) / (post.sum() + 1), LEAST_TRUST, MOST_TRUST)
+        right_off = np.clip((((1 - post) * (1 - start)).sum() + FIRST_TRUST) / ((1 - post).sum() + 1), LEAST_TRUST, MOST_TRUST)
+        balance = float(np.clip(post.mean(), 1e-6, 1 - 1e-6))
+        given = np.where(start > 0.5, np.log(right_on / (1 - right_off)), np.log((1 - right_on) / right_off))
         # what votes share beyond the label: correlations of their residuals
         rest = votes - post[:, None] * (on[:, 1] - on[:, 0]) - (1 - post)[:, None] * (off[:, 1] - off[:, 0])
         cov = rest.T @ rest / n
@@ -70,7 +76,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.nd
         weight = np.log(on) - np.log(off)
         weight[:, 0], weight[:, 1] = np.minimum(weight[:, 0], 0), np.maximum(weight[:, 1], 0)
         evidence = np.einsum("ijv,jv->ij", said, weight) @ share
-        new = 1 / (1 + np.exp(-np.clip(evidence + prior, -30, 30)))
+        new = 1 / (1 + np.exp(-np.clip(evidence + given + math.log(balance / (1 - balance)), -30, 30)))
         if np.abs(new - post).max() < 1e-4:
             return new
         post = new
@@ -165,7 +171,7 @@ def cover(held: list[set[str]], groups: list[int]) -> list[str]:
     least = max(2, math.ceil(0.004 * total))
     left = {k: set(v) for k, v in where.items() if len(v) >= least}
     chosen: list[str] = []
-    while left and len(chosen) < MAX_VOTERS:
+    while left:
         most = max(map(len, left.values()))
         if most < least:
             break
@@ -176,7 +182,7 @@ def cover(held: list[set[str]], groups: list[int]) -> list[str]:
     # words and starts that are frequent enough to be no accident are voters too
     often = max(2 * least, math.ceil(0.02 * total))
     more = sorted((k for k, v in where.items() if len(v) >= often and k not in chosen), key=lambda k: (-len(where[k]), k))
-    return chosen + more[: MAX_VOTERS - len(chosen)]
+    return chosen + more
 
 
 def best_cut(z: np.ndarray, post: np.ndarray) -> float:
@@ -214,14 +220,22 @@ def fit_model(texts: list[str], toxic: np.ndarray) -> Model:
     chosen = cover([features(t) & strong for t, y in zip(texts, toxic) if y], copy_groups([t for t, y in zip(texts, toxic) if y]))
     if not chosen:
         return Model({}, math.log(n_on / (n_on + n_off)) - 3)
-    number = {k: i for i, k in enumerate(chosen)}
-    rows, votes = [], []
+    votes = []
     for text in texts:
-        held = features(text) & number.keys()
-        votes.append([int(k in held) for k in chosen] + [-int(not held)])
-        rows.append(np.array(sorted(number[k] for k in held), np.int64))
+        held = features(text)
+        votes.append([int(k in held) for k in chosen])
+        votes[-1].append(-int(not any(votes[-1])))
     post = label_model(np.array(votes, np.float64), toxic.astype(np.float64))
-    w, b = fit_logistic(rows, post, len(chosen))
+    groups = copy_groups(texts)
+    where: dict[str, set[int]] = {}
+    for text, y, g in zip(texts, toxic, groups):
+        if y:
+            for k in features(text) & odds.keys():
+                where.setdefault(k, set()).add(g)
+    used = sorted(k for k, g in where.items() if len(g) >= SUPPORT and odds[k] >= 2) or chosen
+    number = {k: i for i, k in enumerate(used)}
+    rows = [np.array(sorted(number[k] for k in features(text) & number.keys()), np.int64) for text in texts]
+    w, b = fit_logistic(rows, post, len(used), RIDGE)
     b += 0.4 - best_cut(np.array([b + w[r].sum() for r in rows]), post)
     return Model({k: float(w[i]) for k, i in number.items() if abs(w[i]) > 1e-6}, b)
 
@@ -234,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_VOTERS weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each feature of the sample's bounded number of texts that has the support
 
     def run(batches):
         for ids, texts in text_slices(batches):
