@@ -1,15 +1,21 @@
 """Line deduplication with keep bitmaps, in DataFrame functions only.
 
-Hashes of line keys are range-partitioned by (hash, document) and sorted within
-partitions by (hash, document, position), so a frequent line is spread over as many
-partitions as its rows fill. First occurrences are then the smallest documents of an
-ordinary hash aggregate by key, joined back to the lines; neither needs the sort. What
-comes back are not texts but, for each document, the 64-bit words of a keep bitmap that have a cleared bit.
+Hashes of line keys are range-partitioned by (hash, cell) and sorted within partitions by
+(hash, cell, document, position). A cell is one of as many hash values of the document as
+there are partitions, so a line that a third of all documents hold is spread over as many
+partitions as its rows fill, and no group is larger than a cell of it. One pass over each
+sorted partition streams the first document of every (hash, cell); rows of any later
+document of it are dropped there and then. The rows of the first documents alone, at most
+one document a cell, meet once more by hash, where all but the smallest document's are
+dropped. No line key is aggregated, and no text is moved for it.
+
+What comes back are not texts but, for each document that loses lines, a compressed keep
+bitmap: 64-bit words, those of lines that all stay left out and counted as a skip.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.session import Scratch, cut
@@ -34,48 +40,48 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """`(doc_id, text_hash, n_dropped, words)` of the documents that lose lines.
 
     A key of at least `min_chars` code points that at least two documents hold loses all
-    its lines except in the smallest `doc_id` that holds it. Line p of a document stays if
-    bit p % 64 of `words[p div 64]` is set; words beyond the array are all ones. Rows that
-    repeat a `doc_id` are one holder; each row's own lines are marked, by `text_hash`.
-    Rows with a null `doc_id` take no part.
+    its lines except in the smallest `doc_id` that holds it. `words (skip, word)` is the
+    bitmap: `skip` words of ones, then `word`; line p stays if bit p % 64 of word p div 64
+    is set, and words beyond the last one are all ones. Rows that repeat a `doc_id` are one
+    holder; each row's own lines are marked, by `text_hash`. Rows with a null `doc_id` take
+    no part.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = _text(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").select(
         "doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
     keyed = own.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos", "text_hash")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = scratch.store(hashed, "hashed", narrow=False)  # range partitioning reads its input twice; texts are read once
-    lines = scratch.store(
-        hashed.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos").coalesce(spark.sparkContext.defaultParallelism),
-        "lines",
-        narrow=False,  # a core writes its ranges one after the other, each in order
+    hashed = keyed.select(
+        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("cell"), "doc_id", "pos", "text_hash"
     )
-    first = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    dropped = lines.join(first.select("h1", "h2", "first_doc"), ["h1", "h2"]).where("doc_id > first_doc")
-    bits = (
-        dropped.select("doc_id", "text_hash", F.expr("pos div 64").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
-        .groupBy("doc_id", "text_hash", "word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .groupBy("doc_id", "text_hash")
-        .agg(
-            F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),
-            F.max("word").alias("top"),
-            F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by_word"),
+    with Scratch(spark, "lines") as scratch:
+        hashed = scratch.store(hashed, "hashed", narrow=False)  # range partitioning reads its input twice; texts are read once
+        lines = hashed.repartitionByRange(parts, "h1", "h2", "cell").sortWithinPartitions("h1", "h2", "cell", "doc_id", "pos")
+        streamed = Window.partitionBy("h1", "h2", "cell").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        lines = scratch.store(lines.withColumn("later", F.col("doc_id") > F.first("doc_id").over(streamed)), "lines", narrow=False)
+        firsts = lines.where("not later").drop("later")
+        merged = firsts.withColumn("first_doc", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+        where = ("doc_id", "text_hash", "pos")
+        dropped = lines.where("later").select(*where).unionByName(merged.where("doc_id > first_doc").select(*where))
+        bits = (
+            dropped.select("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
+            .groupBy("doc_id", "text_hash", "word")
+            .agg(F.bit_or("bit").alias("bits"))
+            .groupBy("doc_id", "text_hash")
+            .agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("held"))
         )
-    )
-    words = F.expr("transform(sequence(0L, top), w -> ~coalesce(by_word[w], 0L))")
-    out = cut(bits.select("doc_id", "text_hash", "n_dropped", words.alias("words")))
-    scratch.drop()
-    return out
+        words = F.expr("transform(held, (e, j) -> named_struct('skip', e.word - coalesce(get(held, j - 1).word, -1) - 1, 'word', ~e.bits))")
+        return cut(bits.select("doc_id", "text_hash", "n_dropped", words.alias("words")))
 
 
 def kept_text(text: str, words: str) -> Column:
     """The lines of column `text` whose bit in column `words` is set, joined by newlines."""
     lines = f"split({text}, '\\n', -1)"
-    return F.expr(f"array_join(filter({lines}, (line, i) -> coalesce(getbit(get({words}, cast(i div 64 as int)), i % 64), 1) = 1), '\\n')")
+    whole = f"flatten(transform({words}, w -> concat(array_repeat(-1L, w.skip), array(w.word))))"
+    # the bitmap is unpacked once a row, as a field of a struct of its own
+    stays = "coalesce(getbit(get(x.whole, cast(i div 64 as int)), i % 64), 1) = 1"
+    return F.expr(f"array_join(transform(array(named_struct('lines', {lines}, 'whole', {whole})), x -> array_join(filter(x.lines, (line, i) -> {stays}), '\\n')), '')")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
