@@ -1,13 +1,17 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
 Language, source and length of a document are quantised to a cell of a 16 x 16 x 16
-grid; the curve index of the cell orders the documents, and runs of that order become
-shards, so that a shard covers a compact box of all three dimensions and its minima and
-maxima prune whole files. Copies of one text take the cell of the copy of the smallest
-doc_id and stay in one shard as long as they fit into it.
+grid, each by its own ordered quantiles: a bin is a run of values that holds about a
+sixteenth of the rows, so nearby cells have nearby values. The curve index of the cell
+orders the documents, and runs of that order become shards, so that a shard covers a
+compact box of all three dimensions and its minima and maxima prune whole files. Copies
+of one text take the cell of the copy of the smallest doc_id and stay in one shard as
+long as they fit into it; in the files they stand apart, so that they widen no other
+file's minima and maxima.
 
 The global order comes from a range partitioning and a running count of rows per
-partition; no task sees more than a partition, and the driver sees one count a shard.
+partition; no task sees more than a partition, and the driver sees 16 bounds a dimension
+and one count a shard.
 """
 
 from __future__ import annotations
@@ -55,11 +59,40 @@ def curve() -> Column:
     return F.lit([hilbert_index((c // side // side, c // side % side, c % side), BITS) for c in range(side**DIMS)])
 
 
+def _starts(values: DataFrame) -> list:
+    """The least value of each bin of `values (v)` but the first: at most 15, in order. Nulls are in the first bin.
+
+    The bin of a value is its share of rows before it, over all rows; equal values are counted first.
+    """
+    side, parts = 1 << BITS, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(values.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    ordered = cut(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+    sums = ordered.groupBy("part").agg(F.sum("n").alias("rows"))
+    total = sums.agg(F.sum("rows")).first()[0]
+    if not total:
+        return []
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    running = ordered.withColumn("inside", inside).join(F.broadcast(sums.select("part", before.alias("before"))), "part")
+    bins = running.select("v", F.floor((F.col("before") + F.col("inside")) * side / total).alias("bin"))
+    return [r["low"] for r in bins.groupBy("bin").agg(F.min("v").alias("low")).orderBy("bin").collect() if r["bin"] > 0]
+
+
+def _bin(value: Column, starts: list) -> Column:
+    """How many of `starts` the value has reached, spread over the side of the grid."""
+    reached = F.lit(0)
+    for low in starts:
+        reached += F.coalesce((value >= F.lit(low)).cast("int"), F.lit(0))
+    return reached * F.lit((1 << BITS) // (len(starts) + 1))
+
+
 def _cell(docs: DataFrame, text: Column) -> Column:
+    dims = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")] + [F.octet_length(text)]
     side = 1 << BITS
-    bin_of = lambda name: F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit(side)) if name in docs.columns else F.lit(0)
-    length = F.least(F.floor(F.log2(F.octet_length(text) + 1) * 0.8), F.lit(side - 1))
-    return ((bin_of("lang") * side + bin_of("source")) * side + length).cast("int")
+    cell = F.lit(0)
+    for value in dims:
+        cell = cell * side + _bin(value, _starts(docs.select(value.alias("v"))))
+    return cell.cast("int")
 
 
 def _numbered(df: DataFrame, *keys: str) -> DataFrame:
@@ -74,16 +107,22 @@ def _numbered(df: DataFrame, *keys: str) -> DataFrame:
     return own.join(starts, "part").withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "before")
 
 
-def layout(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def layout(docs: DataFrame, shards: int = 16) -> DataFrame:
     """`(doc_id, size, text_crc32, law, shard, slot, grown_shard)`, one row per row of `docs`.
 
     The law is `rows`: counts of shards are at most one apart. `size` is UTF-8 bytes of
     the text plus one; a null text has none and counts as equal to an empty one. Copies
     of a text split only where a shard is full of copies. Rows with null or repeated
     `doc_id` are placed like any other. `lang` and `source` may be missing or null; other
-    columns are ignored. With fewer rows than shards, the last shards stay empty. The
-    columns of `carry` follow as they are.
+    columns are ignored. With fewer rows than shards, the last shards stay empty.
     """
+    return _placed(docs, shards).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _placed(docs: DataFrame, shards: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`(doc_id, size, text_crc32, moved, shard, slot)` and the columns of `carry`; `moved` rows stand in another cell than their own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -96,7 +135,8 @@ def layout(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> Da
     )
     own = cut(own.withColumn("curve", F.get(curve(), F.col("cell"))).drop("cell"))
     copies = own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "curve"))["curve"].alias("own_curve")).where("copies > 1")
-    placed = own.join(copies, ["h1", "h2"], "left").withColumn("curve", F.coalesce("own_curve", "curve")).drop("own_curve")
+    placed = own.join(copies, ["h1", "h2"], "left").withColumn("moved", F.coalesce(F.col("own_curve") != F.col("curve"), F.lit(False)))
+    placed = placed.withColumn("curve", F.coalesce("own_curve", "curve")).drop("own_curve")
     order = ("curve", "h1", "h2", "doc_id")
     every = cut(_numbered(placed, *order))
     total = every.count()
@@ -113,7 +153,7 @@ def layout(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> Da
     first = [sum(held[:s]) for s in range(shards)]
     inside = F.col("place") - F.get(F.lit(first), F.col("home"))
     fits = inside < F.get(F.lit(room), F.col("home"))
-    columns = ("doc_id", "size", "text_crc32", *carry)
+    columns = ("doc_id", "size", "text_crc32", "moved", *carry)
     stay = grouped.where(fits).select(*columns, F.col("home").alias("shard"), inside.alias("slot"))
 
     # single texts fill the rest in curve order; copies that a full shard has no room for come last
@@ -131,20 +171,25 @@ def layout(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> Da
     rest = rest.withColumn("shard", shard).select(
         *columns, "shard", (F.col("place") - F.get(F.lit(starts), F.col("shard")) + F.get(F.lit(taken), F.col("shard"))).alias("slot")
     )
-    return stay.unionByName(rest).select(
-        *columns[:3], F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry
-    )
+    return stay.unionByName(rest)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write `docs` under `path`, a folder for each shard, rows in slot order.
+    """Write `docs` under `path`, a folder for each shard: `shard=0` and so on, or `shard_=0` if `docs` has a column `shard`.
 
     Every row is written once, those with null or repeated `doc_id` too: rows meet their
     places by a number of their own, which is stored with them, so that it stays the same.
+    Rows are in slot order within a file; rows that stand with their copies, outside their
+    own cell, have files of their own.
     """
-    scratch = Scratch(docs.sparkSession, "shards")
-    numbered = scratch.store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", narrow=False)
-    place = layout(numbered, shards, ("__row",)).select("__row", "shard", "slot")
-    moved = numbered.join(place, "__row").drop("__row")
-    moved.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
-    scratch.drop()
+    folder = "shard"
+    while folder in map(str.lower, docs.columns):
+        folder += "_"
+    with Scratch(docs.sparkSession, "shards") as scratch:
+        numbered = scratch.store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", narrow=False)
+        place = _placed(numbered, shards, ("__row",)).select(F.col("__row").alias("__at"), "moved", F.col("shard").alias("__shard"), "slot")
+        place = place.withColumnsRenamed({"moved": "__moved", "slot": "__slot"})
+        moved = numbered.join(place, F.col("__row") == F.col("__at"))
+        ordered = moved.repartitionByRange(2 * shards, "__shard", "__moved").sortWithinPartitions("__shard", "__moved", "__slot")
+        # a file a partition and shard: the two kinds of rows are in different partitions, or in one if they are few
+        ordered.select(*docs.columns, F.col("__shard").alias(folder)).write.partitionBy(folder).parquet(path)
