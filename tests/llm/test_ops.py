@@ -1,5 +1,7 @@
 """Each operator on odd rows, against plain restatements."""
 
+import fractions
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -40,13 +42,24 @@ def test_line_dedup(spark):
     assert len(found) == len(rows)
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.h) for r in found} == brute.dedup_lines(rows)
     for r in found:
-        kept = sum(1 for i in range(r.n_lines) if not r.words or i // 64 >= len(r.words) or r.words[i // 64] >> (i % 64) & 1)
+        words = [x for w in r.words or [] for x in [-1] * w.skip + [w.word]]
+        kept = sum(1 for i in range(r.n_lines) if i // 64 >= len(words) or words[i // 64] >> (i % 64) & 1)
         assert kept == r.n_lines - r.n_dropped
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
     new = line_dedup.rewrite(docs.withColumn("n_chars", F.length("text").cast("long")))
     assert new.where("doc_id = 54").count() == 0 and new.where("doc_id = 52").first().text == "more" and new.where("doc_id = 52").first().n_chars == 4
 
 
+def test_line_dedup_streams_sorted_ranges(spark):
+    rng = random.Random(11)
+    rows = [(i, "\n".join(rng.choice(["a line that all share", f"own line {i} {j}", f"some share this {rng.randrange(40)}", "short"]) for j in range(rng.randrange(1, 200)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("x") for c in ("cell", "later", "held", "word", "first_doc")})
+    found = line_dedup.dedup_lines(docs).withColumn("h", F.sha2("kept_text", 256))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.h) for r in found.collect()} == brute.dedup_lines(rows)
+    maps = line_dedup.keep_bitmaps(docs)
+    assert all(w.word != -1 for r in maps.collect() for w in r.words)  # words of ones take no room
+
+
 def test_line_dedup_without_id(spark):
     docs = spark.createDataFrame([(None, "a line of text"), (1, "a line of text"), (None, None)], DOC)
     assert sorted(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) == [0, 0, 0]
@@ -103,24 +116,44 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(4)
-    rows = [(i, rng.normal(size=16).round(2).tolist()) for i in range(700)]
-    rows[60] = (60, rows[61][1])  # ties
-    rows += [(800, None), (801, [1.0, None] + [0.0] * 14), (802, [float("nan")] * 16), (850, [float("inf")] * 16), (900, [0.5] * 3), (None, rows[0][1]), (100, rows[100][1]), (1000, [])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("x"))
-    clean = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+def check_top_k(rows, found):
+    """Against all products in whole numbers; the score of two ids is the greatest of their rows'."""
+    clean = [(i, [math.floor(256 * fractions.Fraction(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = {}
     for q in {i for i, _ in clean if i % 50 == 0}:
-        own = next(v for i, v in clean if i == q)
-        best = sorted((-int(own @ v), i) for i, v in clean if i != q and len(v) == len(own))[:5]
+        scores = {}
+        for i, v in clean:
+            for j, own in clean:
+                if j == q != i and len(v) == len(own):
+                    scores[i] = max(scores.get(i, -math.inf), sum(a * b for a, b in zip(own, v)))
+        best = sorted((-s, i) for i, s in scores.items())[:5]
         if best:
-            want[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            want[q] = [(r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(best)]
     got = defaultdict(list)
-    for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect():
+    for r in found:
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    got.pop(100), want.pop(100)  # two equal rows share this id: both ask
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_top_k_repeated_ids_and_large_values(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(i % 120, rng.normal(size=4).tolist()) for i in range(300)]
+    rows += [(0, rows[0][1])] * 4 + [(7, rows[7][1])] * 9
+    large = [(200, [1e12, 1.0, 0.0, 0.0]), (201, [1e12, 1.0, 0.5, 0.0]), (202, [-1e12, 3.0, 0.0, 1e-9]), (203, [1e300, 1e308, -1.0, 2.0]), (204, [1e300, 1.1e308, -1.0, 2.0]), (250, [-1e308, 1e308, 0.0, 1.0])]
+    for some in (rows, rows + large):
+        for block in (4096, 32):
+            monkeypatch.setattr(topk, "BLOCK", block)
+            monkeypatch.setattr(topk, "QUERIES", block // 4)
+            check_top_k(some, topk.top_k(spark.createDataFrame(some, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect())
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).round(2).tolist()) for i in range(700)]
+    rows[60] = (60, rows[61][1])  # ties
+    rows += [(800, None), (801, [1.0, None] + [0.0] * 14), (802, [float("nan")] * 16), (850, [float("inf")] * 16), (900, [0.5] * 3), (None, rows[0][1]), (100, rows[100][1]), (1000, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("x"))
+    check_top_k(rows, topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect())
     assert topk.top_k(vectors.where("false"), F.lit(True)).count() == 0
 
 
@@ -129,8 +162,10 @@ def test_no_random_access_stops_early_and_is_exact():
     x = np.floor(rng.pareto(0.7, (2000, 3)) * 50)
     order = np.argsort(-x, axis=0, kind="stable").astype("<u2")
     q = np.abs(rng.normal(size=(20, 3)))
-    qi, vi, s = topk.block_top(x, order, q, np.full(20, -1), 5, np.full(20, -np.inf))
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    qi, vi, s = topk.block_top(x, order, q, none, 5, np.full(20, -np.inf))
     assert len(qi) <= 20 * topk.FEW
+    assert not len(topk.block_top(x, order, q, none, 5, np.full(20, 1e12))[0])  # no vector can reach the floor
     for i in range(20):
         assert sorted(s[qi == i])[-5:] == pytest.approx(sorted(q[i] @ x.T)[-5:])
 
@@ -139,12 +174,32 @@ def test_no_random_access_stops_early_and_is_exact():
 def test_encoder_gives_the_librarys_ids(file):
     path = queries.tokenizer_path(file)
     want, enc = ids(path), fast_encode.Encoder(path)
-    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(ODD)] == [want(t) for t in ODD]
-    assert enc.count(ODD) == [len(want(t)) for t in ODD]
+    rng = random.Random(4)
+    atoms = ["a", "word", "Wörter", " ", "\n", "  ", "\t", "'s", "don't", ",", "12", "½", "€", "\r\n", "\n\n", "...", " 's", "É", "“x”", "日本", "\x85", "ß", "\0", "\1"]
+    texts = ODD + ["".join(rng.choice(atoms) for _ in range(rng.randrange(14))) for _ in range(4000)]
     whole = enc.whole_tokens()
+    assert enc.merger is not None and enc.known
+    for some in (texts, texts[:1], ["plain text only", "", "and more"], []):
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(some)] == [want(t) for t in some]
+        assert enc.count(some, frozenset(whole)) == [len(want(t)) for t in some]
+    ended = fast_encode.Encoder(path, 7)
+    assert [np.frombuffer(b, "<u4").tolist() for b in ended.ids(ODD)] == [want(t) + [7] for t in ODD]
     assert len(whole) > (30_000 if file.startswith("byte") else 5_000) and all(len(want(t)) == 1 for t in whole[::500])
 
 
+def test_encoder_takes_unknown_files_to_the_library(tmp_path):
+    t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    from tokenizers.pre_tokenizers import ByteLevel, Digits, Sequence
+
+    t.pre_tokenizer = Sequence([Digits(individual_digits=True), ByteLevel(add_prefix_space=False)])
+    t.save(str(tmp_path / "other.json"))
+    enc = fast_encode.Encoder(str(tmp_path / "other.json"))
+    assert not enc.known and enc.merger is None
+    texts = ["in 2024 there were 12,500", "don't", ""]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert enc.count(texts, frozenset(enc.whole_tokens())) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_token_counts(spark):
     rows, docs = odd_docs(spark)
     want = ids(queries.tokenizer_path("byte_bpe_50k.json"))
@@ -277,6 +332,72 @@ def test_shards_hold_every_row_once(spark, tmp_path):
     assert {r.shard: r["count"] for r in found.groupBy("shard").count().collect()} == {0: 16, 1: 16, 2: 16, 3: 16}
 
 
+def test_shards_prune_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(12)
+    rows = [(i, f"text number {i} " * rng.randrange(1, 60), rng.choice(["de", "en", "es", "fr"]), f"src{rng.randrange(20):02d}") for i in range(4000)]
+    rows += [(9000 + i, "a copy", "en", f"src{i % 20:02d}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"shard": F.lit(3), "moved": F.lit("x"), "slot": F.lit(1)})
+    hilbert.write_shards(docs, str(tmp_path / "s"), 16)
+    found = spark.read.parquet(str(tmp_path / "s"))
+    assert found.select(*docs.columns).exceptAll(docs).count() == 0 and found.count() == len(rows)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "s").rglob("*.parquet")]
+
+    def skipped(**where):
+        """The share of rows in files that the predicate's minima and maxima rule out."""
+        out = 0
+        for f in files:
+            names = [f.schema.column(i).path for i in range(f.num_columns)]
+            stats = {c: f.row_group(0).column(names.index(c)).statistics for c in where}
+            out += f.num_rows * any(not s.min <= where[c] <= s.max for c, s in stats.items())
+        return out / len(rows)
+
+    assert min(skipped(lang=x) for x in ("de", "en", "es", "fr")) > 0.4
+    assert np.mean([skipped(source=f"src{k:02d}") for k in range(20)]) > 0.4
+    assert np.mean([skipped(source=f"src{k:02d}", lang="es") for k in range(20)]) > 0.7
+
+
+def plain_layout(rows, shards):
+    """The documented placement of rows (doc_id, text), in the order of their places, by one list per shard."""
+    total = len(rows)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    groups = defaultdict(list)
+    for at, (_, text) in enumerate(rows):
+        groups[text].append(at)
+    out, full = {s: [] for s in range(shards)}, []
+    for at, (doc_id, text) in enumerate(rows):
+        if len(groups[text]) > 1:
+            home = groups[text][0] * shards // total
+            (out[home] if len(out[home]) < room[home] else full).append(at)
+    left = iter([at for at, (_, text) in enumerate(rows) if len(groups[text]) == 1] + full)
+    for s in range(shards):
+        while len(out[s]) < room[s]:
+            out[s].append(next(left))
+    return out
+
+
+def test_layout_equals_plain_restatement(spark):
+    rng = random.Random(13)
+    docs = [(i, rng.choice([f"only {i}", f"copied {rng.randrange(30)}", "the hot one"])) for i in range(700)]
+    frame = spark.createDataFrame(docs, DOC)  # no language and source, one length bin after the other
+    found = hilbert.layout(frame, 8).collect()
+    got = defaultdict(set)
+    for r in found:
+        got[r.shard].add(r.doc_id)
+    # the order of places, from the operator's own cells: only the filling is restated
+    cells = {r.doc_id: r.c for r in frame.select("doc_id", F.get(hilbert.curve(), hilbert._cell(frame, F.col("text"))).alias("c")).collect()}
+    hashes = {r.doc_id: (r.h1, r.h2) for r in frame.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).collect()}
+    first = {}
+    for i, t in docs:
+        first.setdefault(t, i)
+    order = sorted(docs, key=lambda r: (cells[first[r[1]]], *hashes[r[0]], r[0]))
+    want = {s: {order[at][0] for at in places} for s, places in plain_layout(order, 8).items()}
+    assert {s: len(v) for s, v in got.items()} == {s: len(v) for s, v in want.items()}
+    single = {i for i, t in docs if sum(t == u for _, u in docs) == 1}
+    assert {s: v & single for s, v in got.items()} == {s: v & single for s, v in want.items()}
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ru", "te", "sha"]) for _ in range(rng.randrange(1, 5)))
