@@ -10,16 +10,21 @@ from echotrace.operators.components import connected_components
 from echotrace.operators.ranking import global_row_number
 from echotrace.operators.simjoin import similar_pairs
 from echotrace.options import DetectionOptions
-from echotrace.session import cut
+from echotrace.session import cut, keep, spread
 
 POST = ("ord", "id", "account", "url", "posted_at", "posted_ms", "text")
 
 
 def prepare(posts: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
-    """Posts with `acct`, the account's identity, `norm` and a 128-bit key of `norm`."""
+    """Posts with `acct`, the account's identity, `norm`, a 128-bit key of `norm` and `tokens`, the hashes of its token set.
+
+    It is written to the shared folder once: later steps read the columns that they need and
+    never normalise or split a text again.
+    """
     norm = T.normalize_text(F.col("text"), options.ignore_urls, options.ignore_mentions)
-    out = posts.select(*POST).withColumns({"acct": F.lower("account"), "norm": norm})
-    return out.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit("key"), "norm")})
+    out = spread(posts).select(*POST, F.lower("account").alias("acct"), norm.alias("norm"))
+    hashed = F.transform(T.tokens(F.col("norm")), lambda t: F.xxhash64(t))
+    return keep(out.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit("key"), "norm"), "tokens": hashed}))
 
 
 def exact_groups(prepared: DataFrame) -> DataFrame:
@@ -48,11 +53,30 @@ def token_sets(prepared: DataFrame) -> DataFrame:
     return prepared.select("ord", "acct", T.tokens(F.col("norm")).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def approximate_members(rest: DataFrame, edges: DataFrame) -> DataFrame:
-    """`(ord, cluster_key, sim)` of posts linked by `edges (a, b, sim)`; sim is the cluster's highest."""
+def hashed_sets(prepared: DataFrame) -> DataFrame:
+    """`(ord, acct, tokens)` of posts with tokens, the tokens as 64-bit hashes."""
+    return prepared.select("ord", "acct", "tokens").where(F.size("tokens") > 0)
+
+
+def approximate_members(sets: DataFrame, threshold: float) -> DataFrame:
+    """`(ord, cluster_key, sim)` of the posts of `sets` that link to a post of another account; sim is the cluster's highest.
+
+    Posts of equal token sets are one class, which is compared once. If a class has several
+    accounts its posts are linked among themselves; if it has one, all of them link to
+    whatever post of another account one of them links to. So components of classes are
+    components of posts.
+    """
+    sets = cut(sets.select("ord", "acct", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("set"), "tokens").alias("h2")))
+    classes = cut(sets.groupBy("h1", "h2").agg(F.min("ord").alias("rep"), F.min("acct").alias("first_acct"), F.max("acct").alias("last_acct")))
+    reps = sets.join(classes.drop("h1", "h2"), F.col("ord") == F.col("rep")).select("ord", F.col("first_acct").alias("acct"), "last_acct", "tokens")
+    edges = cut(similar_pairs(reps, threshold).select("a", "b", "sim"))
     comps = connected_components(edges, "a", "b")
-    best = edges.join(comps, edges["a"] == comps["node"]).groupBy("component").agg(F.max("sim").alias("sim"))
-    return comps.join(best, "component").select(F.col("node").alias("ord"), F.col("component").alias("cluster_key"), "sim")
+    found = classes.join(comps, F.col("rep") == F.col("node"), "left").withColumn("mixed", F.col("first_acct") != F.col("last_acct"))
+    found = cut(found.where("mixed or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("cluster_key"), "mixed"))
+    linked = edges.join(comps, F.col("a") == F.col("node")).select(F.col("component").alias("cluster_key"), "sim")
+    within = found.where("mixed").select("cluster_key", F.lit(1.0).alias("sim"))
+    best = linked.unionByName(within).groupBy("cluster_key").agg(F.max("sim").alias("sim"))
+    return sets.select("ord", "h1", "h2").join(found.drop("mixed"), ["h1", "h2"]).join(best, "cluster_key").select("ord", "cluster_key", "sim")
 
 
 def rank_clusters(clusters: DataFrame) -> DataFrame:
@@ -78,8 +102,7 @@ def all_members(prepared: DataFrame, options: DetectionOptions = DetectionOption
     out = exact_members(prepared, groups).select(*POST, "acct", F.lit("exact").alias("match_type"), "cluster_key", F.lit(1.0).alias("sim"))
     if options.approximate:
         rest = leftovers(prepared, groups)
-        edges = cut(similar_pairs(token_sets(rest), options.threshold).select("a", "b", "sim"))
-        linked = rest.join(approximate_members(rest, edges), "ord")
+        linked = prepared.join(approximate_members(hashed_sets(rest), options.threshold), "ord")
         out = out.unionByName(linked.select(*POST, "acct", F.lit("approximate").alias("match_type"), "cluster_key", "sim"))
     return out
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echotrace.session import cut
+
 
 def document_frequency(sets: DataFrame) -> DataFrame:
     """`(token, df)` over the rows of `sets (tokens, ...)`."""
@@ -24,41 +26,41 @@ def prefix_length(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
-def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None) -> DataFrame:
-    """`(ord, token)`: the prefix tokens of every set of `sets (ord, tokens)`, rarest first."""
-    each = sets.select("ord", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`(ord, token)` and the columns of `carry`: the prefix tokens of every set of `sets (ord, tokens)`, rarest first."""
+    own = [c for c in carry if c != "n"]
+    each = sets.select("ord", *own, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     known = each.join(frequency if frequency is not None else document_frequency(sets), "token")
-    ranked = known.groupBy("ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    return ranked.select("ord", F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), threshold))).alias("t")).select("ord", "t.token")
+    ranked = known.groupBy("ord", "n", *own).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    return ranked.select("ord", *carry, F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), threshold))).alias("t")).select("ord", *carry, "t.token")
 
 
 def similar_pairs(sets: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
     """`(a, b, inter, uni, sim)` of sets of different accounts with similarity at least `threshold`.
 
-    `sets` has ord, acct, tokens and no empty set. Without `probes` every pair comes once,
-    a < b; with `probes (ord)` pairs have a probe as a, and b may be any other set.
+    `sets` has ord, acct, tokens and no empty set; it is read several times. A row may stand
+    for posts of several accounts, with `acct` the first and `last_acct` the last of them;
+    only two rows of one and the same account are no pair. Without `probes` every pair comes
+    once, a < b; with `probes (ord)` pairs have a probe as a, and b may be any other set.
     """
-    slim = sets.select("ord", "acct", "tokens", F.size("tokens").alias("n"))
-    first = prefixes(slim, threshold)
-    keyed = first.join(slim.select("ord", "acct", "n"), "ord")
-    side = lambda s: keyed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "acct", "n")))
+    if not math.isfinite(threshold) or not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    last = F.col("last_acct") if "last_acct" in sets.columns else F.col("acct")
+    slim = sets.select("ord", "acct", last.alias("last"), "tokens", F.size("tokens").alias("n"))
+    keyed = cut(prefixes(slim, threshold, carry=("acct", "last", "n")))
+    side = lambda s: keyed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "acct", "last", "n")))
     left, right = side("a"), side("b")
     if probes is not None:
         left = left.join(probes.select(F.col("ord").alias("ord_a")), "ord_a", "left_semi")
     apart = F.col("ord_a") < F.col("ord_b") if probes is None else F.col("ord_a") != F.col("ord_b")
+    others = "acct_a <> acct_b or last_a <> acct_a or last_b <> acct_b"
     ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= F.lit(threshold)
-    found = left.join(right, "token").where(apart & (F.col("acct_a") != F.col("acct_b")) & ratio).select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b")).distinct()
+    found = left.join(right, "token").where(apart & F.expr(others) & ratio).select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b")).distinct()
     full = slim.select("ord", "tokens", "n")
     both = found.join(full.select(F.col("ord").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), "a").join(
         full.select(F.col("ord").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b"
     )
     inter = F.size(F.array_intersect("ta", "tb")).cast("long")
-    scored = both.select("a", "b", inter.alias("inter"), (F.col("na") + F.col("nb") - inter).cast("long").alias("uni"))
-    scored = scored.withColumn("sim", F.col("inter") / F.col("uni"))
-    return scored.where(F.col("sim") >= F.lit(float(threshold)))
-
-
-def check_threshold(threshold: float) -> float:
-    if not math.isfinite(threshold) or not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    return threshold
+    scored = both.select("a", "b", inter.alias("inter"), "na", "nb")
+    scored = scored.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).cast("long").alias("uni"))
+    return scored.withColumn("sim", F.col("inter") / F.col("uni")).where(F.col("sim") >= F.lit(float(threshold)))

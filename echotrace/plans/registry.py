@@ -137,7 +137,7 @@ def nfkc_normalized(spark, d):
 def _pairs(threshold: float) -> Query:
     def run(spark, d):
         p = prepared(spark, d)
-        return simjoin.similar_pairs(C.token_sets(C.leftovers(p, C.exact_groups(p))), threshold)
+        return simjoin.similar_pairs(C.hashed_sets(C.leftovers(p, C.exact_groups(p))), threshold)
 
     return run
 
@@ -250,7 +250,7 @@ def cluster_judgment_summary(spark, d):
   (count(*) FILTER (added))::BIGINT AS added_by_semantic, (count(*) FILTER (excluded))::BIGINT AS excluded_by_semantic, greatest(0, (SELECT count(*) FROM cands) - count(*))::BIGINT AS skipped
 FROM decided WHERE candidate_id IN (SELECT candidate_id FROM reviewed)""")
 def run_summary(spark, d):
-    c = candidates(spark, d)[1].cache()
+    c = candidates(spark, d)[1]  # read from the shared folder each time
     seen = semantic.review(c)
     told = judgments(seen)
     return semantic.run_summary(c, told, semantic.adjudicate(seen, told)).withColumn("skipped", F.col("skipped").cast("long"))
@@ -352,11 +352,8 @@ def https_urls(spark, d):
 
 # graph
 
-def evidence(spark, d) -> DataFrame:
-    m = members(spark, d).select("cluster_id", "position", "acct", "match_type", "similarity", "posted_ms")
-    l, r = (m.select(*(F.col(c).alias(f"{c}_{s}") for c in m.columns)) for s in "lr")
-    pairs = l.join(r, (F.col("cluster_id_l") == F.col("cluster_id_r")) & (F.col("position_l") < F.col("position_r")) & (F.col("acct_l") != F.col("acct_r")))
-    return pairs.select(F.col("acct_l").alias("source"), F.col("acct_r").alias("target"), F.col("match_type_l").alias("edge_type"), F.col("similarity_l").alias("weight"), F.greatest("posted_ms_l", "posted_ms_r").alias("observed_ms"))
+def edges(spark, d) -> DataFrame:
+    return graph.cluster_edges(members(spark, d))
 
 
 EDGE = "source_account, target_account, edge_type, round(weight, 6) AS weight, evidence_count, first_observed_ms, last_observed_ms, edge_id"
@@ -368,7 +365,7 @@ def edge_columns(edges: DataFrame) -> DataFrame:
 
 @query(f"SELECT {EDGE} FROM account_edges")
 def account_edges(spark, d):
-    return edge_columns(graph.account_edges(evidence(spark, d)))
+    return edge_columns(edges(spark, d))
 
 
 @query("SELECT acct AS account_id, min(account) AS handle, count(*)::BIGINT AS observed_post_count FROM prepared GROUP BY acct")
@@ -378,12 +375,12 @@ def account_nodes(spark, d):
 
 @query(f"SELECT {EDGE} FROM account_edges WHERE edge_type = 'exact' AND evidence_count >= 2 AND last_observed_ms >= 1704088800000")
 def graph_filtered(spark, d):
-    return edge_columns(graph.filter_edges(graph.account_edges(evidence(spark, d)), ["exact"], 2, from_ms=1704088800000))
+    return edge_columns(graph.filter_edges(edges(spark, d), ["exact"], 2, from_ms=1704088800000))
 
 
 @query("SELECT edge_id, CASE WHEN (SELECT count(*) FROM account_edges WHERE edge_id > 'exact|src1|') > 10 THEN max(edge_id) OVER () END AS next_cursor FROM (SELECT edge_id FROM account_edges WHERE edge_id > 'exact|src1|' ORDER BY edge_id LIMIT 10)")
 def graph_page(spark, d):
-    return graph.page(graph.account_edges(evidence(spark, d)), 10, "exact|src1|").select("edge_id", "next_cursor")
+    return graph.page(edges(spark, d), 10, "exact|src1|").select("edge_id", "next_cursor")
 
 
 # sinks

@@ -99,6 +99,20 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Materialise a wide frame in the shared folder as it is dealt out, for plans that read parts of it several times."""
+    spark = df.sparkSession
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it comes from fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice what is no longer in use, so that executors delete those shuffle files now."""
     gc.collect()
