@@ -3,29 +3,33 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def prediction_problems(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """`(id, problem)` of cases `(id, expected_label)` and predictions `(id, label)` that do not go together, each once."""
+    known = lambda c, *labels: F.coalesce(F.col(c).isin(*labels), F.lit(False)) & (F.coalesce(F.trim("id"), F.lit("")) != "")
+    told = [
+        cases.where(~known("expected_label", "match", "non_match")).select("id", F.lit("case_invalid").alias("problem")),
+        predictions.where(~known("label", "match", "non_match", "abstain")).select("id", F.lit("prediction_invalid").alias("problem")),
+    ]
+    for name, df in (("case", cases), ("prediction", predictions)):
+        told.append(df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(f"{name}_repeated").alias("problem")))
+    told.append(cases.select("id").join(predictions.select("id"), "id", "left_anti").select("id", F.lit("prediction_missing").alias("problem")))
+    told.append(predictions.select("id").join(cases.select("id"), "id", "left_anti").select("id", F.lit("case_missing").alias("problem")))
+    return reduce(DataFrame.unionByName, told).distinct()
+
+
 def check_predictions(cases: DataFrame, predictions: DataFrame) -> None:
-    """Raise ValueError unless every case `(id, expected_label)` has one prediction `(id, label)` and none is left over."""
-    blank = "coalesce(trim(id), '') = ''"
-    problems = []
+    """Raise ValueError unless every case has one prediction and none is left over."""
     if not cases.head(1):
-        problems.append("no evaluation cases")
-    if cases.where(f"{blank} or expected_label is null or expected_label not in ('match', 'non_match')").head(1):
-        problems.append("a case needs an id and an expected label match or non_match")
-    if predictions.where(f"{blank} or label is null or label not in ('match', 'non_match', 'abstain')").head(1):
-        problems.append("a prediction needs an id and a label match, non_match or abstain")
-    for name, df in (("case", cases), ("prediction", predictions)):
-        if df.groupBy("id").count().where("count > 1").head(1):
-            problems.append(f"a {name} id is repeated")
-    both = cases.select("id", F.lit(1).alias("c")).join(predictions.select("id", F.lit(1).alias("p")), "id", "full_outer")
-    if both.where("c is null or p is null").head(1):
-        problems.append("cases and predictions do not have the same ids")
+        raise ValueError("no evaluation cases")
+    problems = prediction_problems(cases, predictions).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).orderBy("problem").collect()  # a row a rule
     if problems:
-        raise ValueError("; ".join(problems))
+        raise ValueError("; ".join(f"{r['problem']}: {r['n']}, first id {r['id']}" for r in problems))
 
 
 def _share(part: Column, whole: Column) -> Column:

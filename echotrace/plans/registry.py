@@ -126,12 +126,6 @@ def mixed_script_tokens(spark, d):
     return rows.select("text", F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
-@query()
-def nfkc_normalized(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(F.lit("ＡＢＣ　①ｶﾞ"), F.lit("ﬁ ﾊﾟ"), F.lit("plain"))).alias("text"))
-    return rows.select("text", T.nfkc(F.col("text")).alias("nfkc"))
-
-
 # similarity joins and clusters
 
 def _pairs(threshold: float) -> Query:
@@ -244,11 +238,14 @@ def cluster_judgment_summary(spark, d):
     return s.withColumn("models", F.array_join(F.array_sort("resolved_models"), ",")).drop("resolved_models")
 
 
-@query("""SELECT (SELECT count(*) FROM cands)::BIGINT AS total, count(*)::BIGINT AS reviewed, (count(*) FILTER (status = 'completed'))::BIGINT AS completed,
+RUN_SUMMARY = """SELECT (SELECT count(*) FROM cands)::BIGINT AS total, count(*)::BIGINT AS reviewed, (count(*) FILTER (status = 'completed'))::BIGINT AS completed,
   (count(*) FILTER (status = 'completed' AND label = 'match'))::BIGINT AS matches, (count(*) FILTER (status = 'completed' AND label = 'non_match'))::BIGINT AS non_matches,
   (count(*) FILTER (status = 'completed' AND label = 'abstain'))::BIGINT AS abstained, (count(*) FILTER (status <> 'completed'))::BIGINT AS unavailable,
   (count(*) FILTER (added))::BIGINT AS added_by_semantic, (count(*) FILTER (excluded))::BIGINT AS excluded_by_semantic, greatest(0, (SELECT count(*) FROM cands) - count(*))::BIGINT AS skipped
-FROM decided WHERE candidate_id IN (SELECT candidate_id FROM reviewed)""")
+FROM decided WHERE candidate_id IN (SELECT candidate_id FROM reviewed)"""
+
+
+@query(RUN_SUMMARY)
 def run_summary(spark, d):
     c = candidates(spark, d)[1]  # read from the shared folder each time
     seen = semantic.review(c)

@@ -71,10 +71,15 @@ def from_csv(spark: SparkSession, content: str) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw posts of large, well-formed CSV files by Spark's own reader; rows of another width are errors."""
-    schema = ", ".join(f"{f} string" for f in FIELDS) + ", _corrupt_record string"
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False, columnNameOfCorruptRecord="_corrupt_record")
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """Raw posts of large, well-formed CSV files by Spark's own reader, in any order of columns and with others beside them.
+
+    `ord` rises within each file's rows, and rows of another width than the header's fail
+    the query that reads them.
+    """
+    own = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST", inferSchema=False)
+    if not set(FIELDS) <= set(own.columns):
+        raise InputValidationError([f"the CSV header needs {', '.join(FIELDS)}"])
+    return own.select(F.monotonically_increasing_id().alias("ord"), *FIELDS)
 
 
 def from_json(spark: SparkSession, content: str) -> DataFrame:
@@ -152,10 +157,17 @@ def parse_input(spark: SparkSession, content: str, file_name: str) -> DataFrame:
     raise InputValidationError(["the input must be a .csv or .json file"])
 
 
+CASES = "version string, purpose string, cases array<struct<id: string, category: string, leftText: string, rightText: string, expectedLabel: string>>"
+
+
+def cases_of(files: DataFrame) -> DataFrame:
+    """Cases `(id, category, leftText, rightText, expectedLabel)` of parsed evaluation files `(cases)`."""
+    return files.select(F.explode("cases").alias("c")).select("c.*")
+
+
 def labelled_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases `(id, category, leftText, rightText, expectedLabel)` of an evaluation file."""
-    schema = "version string, purpose string, cases array<struct<id: string, category: string, leftText: string, rightText: string, expectedLabel: string>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
+    """Cases of an evaluation file."""
+    return cases_of(spark.read.schema(CASES).json(path, multiLine=True))
 
 
 def _generated(spark: SparkSession, size: int, text) -> DataFrame:
