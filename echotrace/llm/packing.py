@@ -166,7 +166,8 @@ def _packed(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, with
     places = spark.createDataFrame(plan, "place_length int, first long, last long, window_id long, per long, at long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_part.select("length", "part", before.alias("before"))
-    ranked = pieces.join(offsets, ["length", "part"]).withColumn("r", F.col("before") + F.col("rank"))
+    # a row for each length and task: it grows with the input, so it is never a broadcast
+    ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).withColumn("r", F.col("before") + F.col("rank"))
     inside = (F.col("length") == F.col("place_length")) & (F.col("r") >= F.col("first")) & (F.col("r") < F.col("last"))
     out = ranked.join(F.broadcast(places), inside).select(
         *("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens"),

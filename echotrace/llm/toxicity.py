@@ -44,9 +44,9 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def marks(word: str) -> list[str]:
+def marks(word: str) -> tuple[str, ...]:
     """The features of a word: itself, and its starts with a star."""
-    return [word] + [word[:n] + "*" for n in STARTS if len(word) > n]
+    return (word, *(word[:n] + "*" for n in STARTS if len(word) > n))
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -216,28 +216,34 @@ def fit_model(texts: list[str], toxic: np.ndarray) -> Model:
             off.update(features(text) & off.keys())
     # how much more often than in clean documents, both smoothed by half a document
     odds = {k: ((on[k] + 0.5) / (n_on + 1)) / ((c + 0.5) / (n_off + 1)) for k, c in off.items()}
-    strong = {k for k, o in odds.items() if o >= 5 and on[k] >= 4 * off[k]}
-    chosen = cover([features(t) & strong for t, y in zip(texts, toxic) if y], copy_groups([t for t, y in zip(texts, toxic) if y]))
+    names = sorted(odds)
+    number = {k: i for i, k in enumerate(names)}
+    held = [np.array(sorted(number[k] for k in features(t) & odds.keys()), np.int32) for t in texts]  # the features of each text, taken once
+    strong = np.array([odds[k] >= 5 and on[k] >= 4 * off[k] for k in names], bool)
+    toxic_rows = np.flatnonzero(toxic == 1).tolist()
+    groups = copy_groups([texts[i] for i in toxic_rows])
+    chosen = cover([{names[j] for j in held[i][strong[held[i]]].tolist()} for i in toxic_rows], groups)
     if not chosen:
         return Model({}, math.log(n_on / (n_on + n_off)) - 3)
-    votes = []
-    for text in texts:
-        held = features(text)
-        votes.append([int(k in held) for k in chosen])
-        votes[-1].append(-int(not any(votes[-1])))
-    post = label_model(np.array(votes, np.float64), toxic.astype(np.float64))
-    groups = copy_groups(texts)
-    where: dict[str, set[int]] = {}
-    for text, y, g in zip(texts, toxic, groups):
-        if y:
-            for k in features(text) & odds.keys():
-                where.setdefault(k, set()).add(g)
-    used = sorted(k for k, g in where.items() if len(g) >= SUPPORT and odds[k] >= 2) or chosen
-    number = {k: i for i, k in enumerate(used)}
-    rows = [np.array(sorted(number[k] for k in features(text) & number.keys()), np.int64) for text in texts]
+    column = np.full(len(names), -1, np.int64)
+    column[[number[k] for k in chosen]] = np.arange(len(chosen))
+    votes = np.zeros((len(texts), len(chosen) + 1))
+    for i, own in enumerate(held):
+        voted = column[own]
+        votes[i, voted[voted >= 0]] = 1
+        votes[i, -1] = -(not (voted >= 0).any())
+    post = label_model(votes, toxic.astype(np.float64))
+    where: dict[int, set[int]] = {}
+    for i, g in zip(toxic_rows, groups):
+        for j in held[i].tolist():
+            where.setdefault(j, set()).add(g)
+    used = [j for j, g in sorted(where.items()) if len(g) >= SUPPORT and odds[names[j]] >= 2] or [number[k] for k in chosen]
+    column = np.full(len(names), -1, np.int64)
+    column[used] = np.arange(len(used))
+    rows = [at[at >= 0] for at in (column[own] for own in held)]
     w, b = fit_logistic(rows, post, len(used), RIDGE)
     b += 0.4 - best_cut(np.array([b + w[r].sum() for r in rows]), post)
-    return Model({k: float(w[i]) for k, i in number.items() if abs(w[i]) > 1e-6}, b)
+    return Model({names[j]: float(x) for j, x in zip(used, w.tolist()) if abs(x) > 1e-6}, b)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
