@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import hilbert, langid, line_dedup, lsa, minhash, packing, token_counts, topk, toxicity, wavelet
+from echotrace.llm import hilbert, langid, lexical, line_dedup, lsa, minhash, packing, token_counts, topk, toxicity, wavelet
 from echotrace.session import few_files
 
 
@@ -70,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
 }
 
 # The stripped characters are tab, line feed, vertical tab, form feed, carriage return and space.
@@ -119,5 +124,17 @@ marked AS (SELECT doc_id, pos, line, coalesce(f < l AND doc_id > f, false) AS go
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op12_ranked_lexical_search": f"""
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+asked AS MATERIALIZED (SELECT item_id, x, count(*)::BIGINT AS times FROM (
+  SELECT item_id, unnest(regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark) GROUP BY ALL),
+totals AS (SELECT count(*)::BIGINT AS total, sum(len(t))::BIGINT AS length FROM words WHERE len(t) > 0),
+tf AS MATERIALIZED (SELECT doc_id, n, x, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS x FROM words) WHERE x IN (SELECT x FROM asked) GROUP BY ALL),
+w AS (SELECT x, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY x, total),
+parts AS (SELECT doc_id, x, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // length))) AS part FROM tf JOIN w USING (x), totals),
+scored AS (SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (x) GROUP BY ALL HAVING sum(times * part) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
