@@ -17,6 +17,7 @@ from echotrace.operators import clusters as C
 from echotrace.operators import evaluation, governance, graph, latercopy, semantic, simjoin, validate
 from echotrace.options import DetectionOptions
 from echotrace.plans import oracle
+from echotrace.session import settled
 from echotrace.sources import posts as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +26,10 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Register a query, with its SQL if it has any."""
+    """Register a query, with its SQL if it has any. Tables that it writes on the way are deleted when its result is written."""
 
     def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
+        QUERIES[name or f.__name__] = lambda spark, d: settled(spark, lambda: f(spark, d))
         if sql is not None:
             ORACLES[name or f.__name__] = oracle.sql(sql)
         return f

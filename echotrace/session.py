@@ -8,6 +8,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,21 +91,47 @@ def _session_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """The tables that `cut` and `keep` write inside go at its end, whatever ends it."""
+    folder = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    token = _scopes.set((*_scopes.get(), folder))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        _delete(spark, folder)
+
+
+def _new_table(spark: SparkSession, outside: bool) -> str:
+    inner = _scopes.get()[: -1 if outside else None]
+    return f"{inner[-1] if inner else _session_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame of `make()`. If making it wrote tables, it is written itself and they are deleted; else it stays a plan."""
+    with temporary(spark):
+        df = make()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_scopes.get()[-1])
+        return keep(df, outside=True) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else df
+
+
+def cut(df: DataFrame, rows: int | None = None, outside: bool = False) -> DataFrame:
     """Materialise a narrow frame in the shared folder, so that lost executors cost no recomputation.
 
     It is written as Parquet, so that later plans know its size and read the columns they need.
+    With `outside` it outlives the innermost `temporary`.
     """
-    spark = df.sparkSession
-    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
-    few_files(df, rows).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return keep(few_files(df, rows), outside)
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, outside: bool = False) -> DataFrame:
     """Materialise a wide frame in the shared folder as it is dealt out, for plans that read parts of it several times."""
     spark = df.sparkSession
-    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    path = _new_table(spark, outside)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
