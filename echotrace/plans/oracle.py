@@ -113,20 +113,21 @@ TABLES: dict[str, str] = {
 RECURSIVE = ("reach", "kept_reach")
 
 
-def sql(final: str) -> str:
-    """`final` after the table expressions that it names, directly or not."""
+def sql(final: str, other: dict[str, str] | None = None) -> str:
+    """`final` after the table expressions that it names, directly or not; those of `other` stand in for the known ones."""
     import re
 
+    tables = TABLES | (other or {})
     need: list[str] = []
 
     def visit(text: str) -> None:
         for name in re.findall(r"(?:FROM|JOIN)\s+(\w+)", text):
-            if name in TABLES and name not in need and name not in busy:
+            if name in tables and name not in need and name not in busy:
                 busy.append(name)
-                visit(TABLES[name])
+                visit(tables[name])
                 need.append(name)
 
     busy: list[str] = []
     visit(final)
-    parts = [f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({TABLES[n]})" for n in need]
+    parts = [f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({tables[n]})" for n in need]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final
