@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions import text as T
-from echotrace.operators.components import connected_components
-from echotrace.operators.ranking import global_row_number
-from echotrace.operators.simjoin import similar_pairs
+from echotrace.operators.linking import linked_sets
+from echotrace.operators.ranking import place_in_group, place_in_order
 from echotrace.options import DetectionOptions
 from echotrace.session import cut, keep, spread
 
 POST = ("ord", "id", "account", "url", "posted_at", "posted_ms", "text")
+SLIM = ("ord", "id", "account", "posted_ms")  # what clusters are made of; url, text and the time's text are joined to their posts at the end
 
 
-def prepare(posts: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
-    """Posts with `acct`, the account's identity, `norm`, a 128-bit key of `norm` and `tokens`, the hashes of its token set.
+def normalised(posts: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
+    """`posts` with `acct`, the account's identity, `norm`, and `k1` and `k2`, a 128-bit key of `norm`."""
+    norm = T.normalize_text(F.col("text"), options.ignore_urls, options.ignore_mentions)
+    out = spread(posts).select("*", F.lower("account").alias("acct"), norm.alias("norm"))
+    return out.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit("key"), "norm")})
+
+
+def hashed_tokens() -> Column:
+    """The token set of `norm` as 64-bit hashes."""
+    return F.transform(T.tokens(F.col("norm")), lambda t: F.xxhash64(t))
 
-    It is written to the shared folder once: later steps read the columns that they need and
-    never normalise or split a text again.
+
+def prepare(posts: DataFrame, options: DetectionOptions = DetectionOptions(), stored: bool = True) -> DataFrame:
+    """Narrow rows of the posts: SLIM, acct, k1, k2, `blank` (the normal form is empty) and, for approximate runs, `tokens`.
+
+    They are written to the shared folder once, without texts, and later steps never
+    normalise or split a text again. A plan that reads them once need not have them `stored`.
     """
-    norm = T.normalize_text(F.col("text"), options.ignore_urls, options.ignore_mentions)
-    out = spread(posts).select(*POST, F.lower("account").alias("acct"), norm.alias("norm"))
-    hashed = F.transform(T.tokens(F.col("norm")), lambda t: F.xxhash64(t))
-    return keep(out.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit("key"), "norm"), "tokens": hashed}))
+    out = normalised(posts, options)
+    tokens = {"tokens": hashed_tokens()} if options.approximate else {}
+    out = out.withColumns(tokens).select(*SLIM, "acct", "k1", "k2", (F.col("norm") == "").alias("blank"), *tokens)
+    return keep(out) if stored else out
 
 
 def exact_groups(prepared: DataFrame) -> DataFrame:
     """`(k1, k2)` of equal normalised texts of at least two accounts, with counts; texts stay out of the shuffle."""
     return (
-        prepared.where("norm <> ''").groupBy("k1", "k2")
+        prepared.where("not blank").groupBy("k1", "k2")
         .agg(
             F.count(F.lit(1)).alias("post_count"), F.count_distinct("acct").alias("account_count"),
             F.min("posted_ms").alias("first_ms"), F.min("ord").alias("min_ord"),
@@ -46,11 +58,7 @@ def exact_members(prepared: DataFrame, groups: DataFrame) -> DataFrame:
 
 def leftovers(prepared: DataFrame, groups: DataFrame) -> DataFrame:
     """Posts that may be approximate duplicates: not in an exact cluster, and not empty."""
-    return prepared.join(groups.select("k1", "k2"), ["k1", "k2"], "left_anti").where("norm <> ''")
-
-
-def token_sets(prepared: DataFrame) -> DataFrame:
-    return prepared.select("ord", "acct", T.tokens(F.col("norm")).alias("tokens")).where(F.size("tokens") > 0)
+    return prepared.join(groups.select("k1", "k2"), ["k1", "k2"], "left_anti").where("not blank")
 
 
 def hashed_sets(prepared: DataFrame) -> DataFrame:
@@ -69,21 +77,18 @@ def approximate_members(sets: DataFrame, threshold: float) -> DataFrame:
     sets = cut(sets.select("ord", "acct", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("set"), "tokens").alias("h2")))
     classes = cut(sets.groupBy("h1", "h2").agg(F.min("ord").alias("rep"), F.min("acct").alias("first_acct"), F.max("acct").alias("last_acct")))
     reps = sets.join(classes.drop("h1", "h2"), F.col("ord") == F.col("rep")).select("ord", F.col("first_acct").alias("acct"), "last_acct", "tokens")
-    edges = cut(similar_pairs(reps, threshold).select("a", "b", "sim"))
-    comps = connected_components(edges, "a", "b")
+    comps, linked = linked_sets(keep(reps), threshold)
     found = classes.join(comps, F.col("rep") == F.col("node"), "left").withColumn("mixed", F.col("first_acct") != F.col("last_acct"))
     found = cut(found.where("mixed or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("cluster_key"), "mixed"))
-    linked = edges.join(comps, F.col("a") == F.col("node")).select(F.col("component").alias("cluster_key"), "sim")
     within = found.where("mixed").select("cluster_key", F.lit(1.0).alias("sim"))
-    best = linked.unionByName(within).groupBy("cluster_key").agg(F.max("sim").alias("sim"))
+    best = linked.withColumnRenamed("component", "cluster_key").unionByName(within).groupBy("cluster_key").agg(F.max("sim").alias("sim"))
     return sets.select("ord", "h1", "h2").join(found.drop("mixed"), ["h1", "h2"]).join(best, "cluster_key").select("ord", "cluster_key", "sim")
 
 
 def rank_clusters(clusters: DataFrame) -> DataFrame:
     """`clusters` with `rank` and `cluster_id`: exact first, then similarity, accounts, age, input order."""
     kind = F.when(F.col("match_type") == "exact", 0).otherwise(1)
-    coarse = [kind, -F.col("similarity"), -F.col("account_count"), F.expr("first_ms div 3600000")]
-    ranked = global_row_number(clusters, "rank", coarse, [F.col("first_ms"), F.col("min_ord")])
+    ranked = place_in_order(clusters, "rank", [kind, F.desc("similarity"), F.desc("account_count"), "first_ms", "min_ord"])
     return ranked.withColumn("cluster_id", T.ordinal_id("C-", F.col("rank")))
 
 
@@ -97,26 +102,33 @@ def cluster_table(members: DataFrame) -> DataFrame:
 
 
 def all_members(prepared: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
-    """Posts of exact and approximate clusters with match_type, cluster_key and sim; the two kinds share no post."""
+    """Posts (SLIM) of exact and approximate clusters with acct, match_type, cluster_key and sim; the two kinds share no post."""
     groups = exact_groups(prepared)
-    out = exact_members(prepared, groups).select(*POST, "acct", F.lit("exact").alias("match_type"), "cluster_key", F.lit(1.0).alias("sim"))
+    if options.approximate:
+        groups = cut(groups)
+    out = exact_members(prepared, groups).select(*SLIM, "acct", F.lit("exact").alias("match_type"), "cluster_key", F.lit(1.0).alias("sim"))
     if options.approximate:
         rest = leftovers(prepared, groups)
         linked = prepared.join(approximate_members(hashed_sets(rest), options.threshold), "ord")
-        out = out.unionByName(linked.select(*POST, "acct", F.lit("approximate").alias("match_type"), "cluster_key", "sim"))
+        out = out.unionByName(linked.select(*SLIM, "acct", F.lit("approximate").alias("match_type"), "cluster_key", "sim"))
     return out
 
 
 def find_duplicate_clusters(posts: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
     """One row per cluster and post: cluster columns, `position` of the post by time, account and id, post columns."""
     members = cut(all_members(prepare(posts, options), options))
-    return attach(members, cluster_table(members))
+    return with_posts(attach(members, cluster_table(members)), posts)
+
+
+def with_posts(members: DataFrame, posts: DataFrame) -> DataFrame:
+    """Members with the columns of POST that they lack."""
+    more = posts.select(*(c for c in POST if c == "ord" or c not in members.columns))
+    return members.join(more, "ord").select(*(c for c in members.columns if c not in (*POST, "acct")), *POST, "acct")
 
 
 def attach(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """`members` with the columns of their cluster and their position in it; a cluster of any size is spread over tasks."""
     head = clusters.select("match_type", "cluster_key", "rank", "cluster_id", "similarity", "account_count", "post_count")
-    by_time = Window.partitionBy("cluster_id").orderBy("posted_ms", T.ja(F.col("account")), T.ja(F.col("id")), "ord")
-    both = members.join(head, ["match_type", "cluster_key"])
-    return both.withColumn("position", F.row_number().over(by_time)).select(
-        "rank", "cluster_id", "match_type", "similarity", "account_count", "post_count", "position", *POST, "acct"
-    )
+    placed = place_in_group(members, "position", ["match_type", "cluster_key"], ["posted_ms", T.ja(F.col("account")), T.ja(F.col("id")), "ord"])
+    both = placed.withColumn("position", F.col("position").cast("int")).join(head, ["match_type", "cluster_key"])
+    return both.select("rank", "cluster_id", "match_type", "similarity", "account_count", "post_count", "position", *(c for c in members.columns if c in POST), "acct")

@@ -27,40 +27,91 @@ def prefix_length(n: Column, threshold: float) -> Column:
 
 
 def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """`(ord, token)` and the columns of `carry`: the prefix tokens of every set of `sets (ord, tokens)`, rarest first."""
-    own = [c for c in carry if c != "n"]
+    """`(ord, token)` and the columns of `carry`: the prefix tokens of every set of `sets (ord, tokens)`, rarest first.
+
+    `carry` may name `n`, the size of the set, and `pos`, the token's place in the order, from 1.
+    """
+    own = [c for c in carry if c not in ("n", "pos")]
     each = sets.select("ord", *own, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     known = each.join(frequency if frequency is not None else document_frequency(sets), "token")
     ranked = known.groupBy("ord", "n", *own).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    return ranked.select("ord", *carry, F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), threshold))).alias("t")).select("ord", *carry, "t.token")
+    first = F.posexplode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), threshold))).alias("at", "t")
+    kept = ranked.select("ord", "n", *own, first).withColumn("pos", (F.col("at") + 1).cast("int"))
+    return kept.select("ord", *carry, "t.token")
+
+
+def keyed_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """Prefix rows `(ord, acct, last, n, pos, token)` of `sets (ord, acct, tokens)`, in the shared folder."""
+    if not math.isfinite(threshold) or not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    last = F.col("last_acct") if "last_acct" in sets.columns else F.col("acct")
+    return cut(prefixes(sets.select("ord", "acct", last.alias("last"), "tokens"), threshold, carry=("acct", "last", "n", "pos")))
+
+
+#: Two rows are apart unless both stand for posts of one and the same account.
+APART = "acct_a <> acct_b or last_a <> acct_a or last_b <> acct_b"
+
+
+def may_reach(threshold: Column, strictly: bool = False) -> Column:
+    """Whether two sets whose first common token is at `pos_a` and `pos_b` can have similarity `threshold`, or more than it.
+
+    They share that token and at most what stands behind it in the shorter rest. The margins
+    are far below the distance of any such bound to the next whole number.
+    """
+    need = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b"))
+    least = F.floor(need + 1e-9) + 1 if strictly else F.ceil(need - 1e-9)
+    sizes = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
+    return (sizes > threshold if strictly else sizes >= threshold) & (1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least)
+
+
+def side(rows: DataFrame, s: str, *columns: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns))
 
 
-def similar_pairs(sets: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
-    """`(a, b, inter, uni, sim)` of sets of different accounts with similarity at least `threshold`.
+KEYED = ("ord", "acct", "last", "n", "pos")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """`(a, b, inter, uni, sim)` of the pairs `(a, b)` whose full sets are similar enough."""
+    full = lambda s: sets.select(F.col("ord").alias(s), F.col("tokens").alias(f"t{s}"))
+    both = pairs.join(full("a"), "a").join(full("b"), "b")
+    inter = F.size(F.array_intersect("ta", "tb")).cast("long")
+    scored = both.select("a", "b", inter.alias("inter"), (F.size("ta") + F.size("tb")).alias("both"))
+    scored = scored.select("a", "b", "inter", (F.col("both") - F.col("inter")).cast("long").alias("uni"))
+    return scored.withColumn("sim", F.col("inter") / F.col("uni")).where(F.col("sim") >= F.lit(float(threshold)))
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """`(a, b, inter, uni, sim)` of sets of different accounts with similarity at least `threshold`; every pair once, a < b.
 
     `sets` has ord, acct, tokens and no empty set; it is read several times. A row may stand
     for posts of several accounts, with `acct` the first and `last_acct` the last of them;
-    only two rows of one and the same account are no pair. Without `probes` every pair comes
-    once, a < b; with `probes (ord)` pairs have a probe as a, and b may be any other set.
+    only two rows of one and the same account are no pair. Where pairs are not wanted but
+    what they connect, see `linking.linked_sets`.
     """
-    if not math.isfinite(threshold) or not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    last = F.col("last_acct") if "last_acct" in sets.columns else F.col("acct")
-    slim = sets.select("ord", "acct", last.alias("last"), "tokens", F.size("tokens").alias("n"))
-    keyed = cut(prefixes(slim, threshold, carry=("acct", "last", "n")))
-    side = lambda s: keyed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "acct", "last", "n")))
-    left, right = side("a"), side("b")
-    if probes is not None:
-        left = left.join(probes.select(F.col("ord").alias("ord_a")), "ord_a", "left_semi")
-    apart = F.col("ord_a") < F.col("ord_b") if probes is None else F.col("ord_a") != F.col("ord_b")
-    others = "acct_a <> acct_b or last_a <> acct_a or last_b <> acct_b"
-    ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= F.lit(threshold)
-    found = left.join(right, "token").where(apart & F.expr(others) & ratio).select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b")).distinct()
-    full = slim.select("ord", "tokens", "n")
-    both = found.join(full.select(F.col("ord").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), "a").join(
-        full.select(F.col("ord").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b"
-    )
+    return verified(candidate_pairs(keyed_prefixes(sets, threshold), threshold), sets, threshold)
+
+
+def candidate_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
+    both = side(keyed, "a", *KEYED).join(side(keyed, "b", *KEYED), "token").where("ord_a < ord_b").where(F.expr(APART)).where(may_reach(F.lit(float(threshold))))
+    return both.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b")).distinct()
+
+
+def matches_of(probes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """`(a, b, inter, uni, sim)`: for each of `probes (ord, tokens, order)` as a, the similar ones of `sets (ord, tokens)` as b.
+
+    The prefix rule holds for any order if one side has its prefix and the other all its
+    tokens, so only the probes' prefixes are made, in the order of `order`, their tokens from
+    the likely rarest on, and no frequency is counted over `sets`.
+    """
+    n = F.size("order")
+    keys = probes.select(F.col("ord").alias("ord_a"), n.alias("n_a"), F.posexplode(F.slice("order", F.lit(1), prefix_length(n, threshold))).alias("at", "token"))
+    each = sets.select(F.col("ord").alias("ord_b"), F.size("tokens").alias("n_b"), F.explode("tokens").alias("token"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    fits = (F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= F.lit(float(threshold))) & (F.col("n_a") - F.col("at") >= need)
+    pairs = cut(keys.join(each, "token").where(fits).select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b")).distinct())
+    full = lambda df, s: df.select(F.col("ord").alias(s), F.col("tokens").alias(f"t{s}"))
+    both = pairs.join(full(sets, "b"), "b").join(full(probes, "a"), "a")
     inter = F.size(F.array_intersect("ta", "tb")).cast("long")
-    scored = both.select("a", "b", inter.alias("inter"), "na", "nb")
-    scored = scored.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).cast("long").alias("uni"))
+    scored = both.select("a", "b", inter.alias("inter"), (F.size("ta") + F.size("tb") - inter).cast("long").alias("uni"))
     return scored.withColumn("sim", F.col("inter") / F.col("uni")).where(F.col("sim") >= F.lit(float(threshold)))

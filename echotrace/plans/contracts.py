@@ -221,7 +221,8 @@ def match_kinds(spark, d):
     same = C.exact_members(p, groups).select("cluster_key", "ord")
     pairs = same.withColumnRenamed("ord", "a").join(same.withColumnRenamed("ord", "b"), "cluster_key").where("a < b").select("a", "b")
     pairs = pairs.unionByName(simjoin.similar_pairs(C.hashed_sets(C.leftovers(p, groups)), 0.5).select("a", "b"))
-    both = pairs.join(p.select(F.col("ord").alias("a"), F.col("norm").alias("na")), "a").join(p.select(F.col("ord").alias("b"), F.col("norm").alias("nb")), "b")
+    text = lambda s: C.normalised(R.posts(spark, d)).select(F.col("ord").alias(s), F.col("norm").alias(f"n{s}"))
+    both = pairs.join(text("a"), "a").join(text("b"), "b")
     return both.select("a", "b", latercopy.match_kind(F.col("na"), F.col("nb")).alias("m")).where("m is not null").select("a", "b", "m.match_type", "m.similarity")
 
 

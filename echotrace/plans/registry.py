@@ -17,7 +17,7 @@ from echotrace.operators import clusters as C
 from echotrace.operators import evaluation, governance, graph, latercopy, semantic, simjoin, validate
 from echotrace.options import DetectionOptions
 from echotrace.plans import oracle
-from echotrace.session import settled
+from echotrace.session import keep, settled
 from echotrace.sources import posts as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,17 @@ def prepared(spark: SparkSession, d: str) -> DataFrame:
     return C.prepare(posts(spark, d))
 
 
+def slim(spark: SparkSession, d: str, stored: bool = False) -> DataFrame:
+    """Prepared posts without tokens."""
+    return C.prepare(posts(spark, d), DetectionOptions(approximate=False), stored)
+
+
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    """`(ord, acct, tokens)` with the tokens themselves, of the posts outside exact clusters."""
+    own = keep(C.normalised(posts(spark, d)).select("ord", "acct", "posted_ms", "k1", "k2", (F.col("norm") == "").alias("blank"), T.tokens(F.col("norm")).alias("tokens")))
+    return C.hashed_sets(C.leftovers(own, C.exact_groups(own)))
+
+
 def members(spark: SparkSession, d: str) -> DataFrame:
     return C.find_duplicate_clusters(posts(spark, d))
 
@@ -65,19 +76,19 @@ CLUSTER = ("cluster_id", "match_type", "similarity", "account_count", "post_coun
 
 @query("SELECT cluster_id, match_type, similarity, account_count, post_count, first_ms, min_ord FROM (" + oracle.clusters("exact") + ")")
 def exact_clusters(spark, d):
-    g = C.exact_groups(prepared(spark, d)).withColumns({"match_type": F.lit("exact"), "similarity": F.lit(1.0), "cluster_key": F.col("min_ord")})
+    g = C.exact_groups(slim(spark, d)).withColumns({"match_type": F.lit("exact"), "similarity": F.lit(1.0), "cluster_key": F.col("min_ord")})
     return C.rank_clusters(g).select(*CLUSTER)
 
 
 @query("SELECT cluster_key, id, account, posted_ms FROM exact")
 def exact_cluster_members(spark, d):
-    p = prepared(spark, d)
+    p = slim(spark, d, stored=True)
     return C.exact_members(p, C.exact_groups(p)).select("cluster_key", "id", "account", "posted_ms")
 
 
 @query("SELECT min(ord) AS min_ord, count(*)::BIGINT AS post_count FROM prepared WHERE norm <> '' GROUP BY norm HAVING count(*) > 1 AND count(DISTINCT acct) = 1")
 def same_account_only_dups(spark, d):
-    p = prepared(spark, d).where("norm <> ''")
+    p = slim(spark, d).where("not blank")
     g = p.groupBy("k1", "k2").agg(F.min("ord").alias("min_ord"), F.count(F.lit(1)).alias("post_count"), F.min("acct").alias("low"), F.max("acct").alias("high"))
     return g.where("post_count > 1 and low = high").select("min_ord", "post_count")
 
@@ -86,7 +97,7 @@ def same_account_only_dups(spark, d):
 
 @query("SELECT id, norm FROM prepared")
 def normalized_text(spark, d):
-    return prepared(spark, d).select("id", "norm")
+    return C.normalised(posts(spark, d)).select("id", "norm")
 
 
 @query(f"SELECT doc_id, {oracle.norm('text', False, False)} AS plain, {oracle.norm('text', True, False)} AS no_urls, {oracle.norm('text', False, True)} AS no_mentions FROM documents")
@@ -102,20 +113,18 @@ def normalized_conversations(spark, d):
 
 @query(f"SELECT ord, unnest({oracle.tokens('norm')}) AS token FROM prepared")
 def token_sets(spark, d):
-    return prepared(spark, d).select("ord", F.explode(T.tokens(F.col("norm"))).alias("token"))
+    return C.normalised(posts(spark, d)).select("ord", F.explode(T.tokens(F.col("norm"))).alias("token"))
 
 
 @query("SELECT token, count(*)::BIGINT AS df FROM items GROUP BY token")
 def token_document_frequency(spark, d):
-    p = prepared(spark, d)
-    return simjoin.document_frequency(C.token_sets(C.leftovers(p, C.exact_groups(p))))
+    return simjoin.document_frequency(token_rows(spark, d))
 
 
 @query("""SELECT ord, token FROM (SELECT ord, token, n, row_number() OVER (PARTITION BY ord ORDER BY df, token) AS r FROM items JOIN (SELECT token, count(*) AS df FROM items GROUP BY token) USING (token))
 WHERE r <= n - ceil(n * 0.8::DOUBLE - 1e-9::DOUBLE) + 1""")
 def prefix_tokens(spark, d):
-    p = prepared(spark, d)
-    return simjoin.prefixes(C.token_sets(C.leftovers(p, C.exact_groups(p))), 0.8)
+    return simjoin.prefixes(token_rows(spark, d), 0.8)
 
 
 MIXED = ["18時に公開", "市場abc", "ーー", "abc 東 カ ひら", "𠮷野 9_x", "", "é Ünï 12"]
