@@ -207,10 +207,9 @@ def ordinal_judge(request: dict) -> dict:
     return {"label": label, "score": (left * 7 + right * 13) % 101 / 100, "provider": "test", "resolvedModel": "v/m", "usage": {"inputTokens": 1, "outputTokens": 1}}
 
 
-@query(R.RUN_SUMMARY)
+@query(R.REFUSING_SUMMARY)
 def judged_run_summary(spark, d):
-    short = R.posts(spark, d).withColumn("text", F.substr("text", F.lit(1), F.lit(4000)))  # a judge's limit; clusters are over whole texts
-    return semantic.judged_run(short, R.members(spark, d), ordinal_judge)[2].withColumn("skipped", F.col("skipped").cast("long"))
+    return semantic.judged_run(R.posts(spark, d), R.members(spark, d), ordinal_judge)[2].withColumn("skipped", F.col("skipped").cast("long"))
 
 
 @query(f"""SELECT x AS a, y AS b, 'exact' AS match_type, 1.0::DOUBLE AS similarity FROM (SELECT p.ord AS x, q.ord AS y FROM exact p JOIN exact q ON p.cluster_key = q.cluster_key AND p.ord < q.ord)

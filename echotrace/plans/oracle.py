@@ -84,6 +84,8 @@ TABLES: dict[str, str] = {
     "decided": """SELECT *, status = 'completed' AND label = 'match' OR (lexical AND NOT (status = 'completed' AND label = 'non_match')) AS kept,
   status = 'completed' AND label = 'match' AND NOT lexical AS added, status = 'completed' AND label = 'non_match' AND lexical AS excluded,
   greatest(coalesce(lexical_similarity, 0), score) AS edge_score FROM judged""",
+    "units": f"""SELECT doc_id AS o, length(t) + length(regexp_replace(t, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')) > 4000 OR length(t) = 0 AS long
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[{WS}]+|[{WS}]+$', '', 'g') AS t FROM documents)""",
     "kept_edges": "SELECT left_ord AS a, right_ord AS b, edge_score AS sim FROM decided WHERE kept",
     "kept_both": "SELECT a AS x, b AS y FROM kept_edges UNION SELECT b, a FROM kept_edges",
     "kept_reach": "SELECT x AS node, x AS root FROM kept_both UNION SELECT kept_both.y, kept_reach.root FROM kept_reach JOIN kept_both ON kept_both.x = kept_reach.node",

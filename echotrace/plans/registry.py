@@ -218,7 +218,7 @@ def semantic_candidates(spark, d):
 
 @query("SELECT candidate_id, left_id, right_id, lexical, discovery, lexical_similarity, time_difference_ms FROM reviewed")
 def semantic_review_top50(spark, d):
-    return semantic.review(candidates(spark, d)[1]).select(*CANDIDATE)
+    return semantic.first_candidates(posts(spark, d), members(spark, d))[0].select(*CANDIDATE)
 
 
 def reconciled(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -254,13 +254,17 @@ RUN_SUMMARY = """SELECT (SELECT count(*) FROM cands)::BIGINT AS total, count(*):
   (count(*) FILTER (added))::BIGINT AS added_by_semantic, (count(*) FILTER (excluded))::BIGINT AS excluded_by_semantic, greatest(0, (SELECT count(*) FROM cands) - count(*))::BIGINT AS skipped
 FROM decided WHERE candidate_id IN (SELECT candidate_id FROM reviewed)"""
 
+# the same, where pairs with a text over 4,000 UTF-16 units are refused
+REFUSING_SUMMARY = RUN_SUMMARY.replace("FROM decided WHERE", """FROM (SELECT * REPLACE (CASE WHEN long_l OR long_r THEN 'unavailable' ELSE status END AS status, CASE WHEN long_l OR long_r THEN false ELSE added END AS added, CASE WHEN long_l OR long_r THEN false ELSE excluded END AS excluded)
+  FROM decided JOIN units l ON l.o = left_ord JOIN units r ON r.o = right_ord) WHERE""").replace("long_l", "l.long").replace("long_r", "r.long")
+
 
 @query(RUN_SUMMARY)
 def run_summary(spark, d):
-    c = candidates(spark, d)[1]  # read from the shared folder each time
-    seen = semantic.review(c)
+    seen, total = semantic.first_candidates(posts(spark, d), members(spark, d))
+    seen = keep(seen)
     told = judgments(seen)
-    return semantic.run_summary(c, told, semantic.adjudicate(seen, told)).withColumn("skipped", F.col("skipped").cast("long"))
+    return semantic.run_summary(total, told, semantic.adjudicate(seen, told)).withColumn("skipped", F.col("skipped").cast("long"))
 
 
 # evaluation and cost

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from echotrace.operators import clusters, latercopy, semantic
 from echotrace.operators.validate import validate
@@ -131,7 +132,7 @@ def test_candidates_and_reconciliation(spark):
     assert sorted(r.id for r in after.collect()) == ["4", "5"]
     summary = semantic.cluster_summary(after, decisions).collect()
     assert [(r.completed, r.matches, r.highest_score, r.resolved_models) for r in summary] == [(1, 1, 0.9, ["m"])]
-    totals = semantic.run_summary(found, told, decisions).first()
+    totals = semantic.run_summary(found.agg(F.count(F.lit(1)).alias("total")), told, decisions).first()
     assert (totals.total, totals.reviewed, totals.skipped, totals.added_by_semantic, totals.excluded_by_semantic) == (3, 2, 1, 1, 1)
     # an abstaining judge keeps the pair and raises its score
     _, table, _ = semantic.reconcile(posts, members, found, judged(spark, ("semantic:1:2", "completed", "abstain", 0.95, "")))
