@@ -41,14 +41,12 @@ def prepare(posts: DataFrame, options: DetectionOptions = DetectionOptions(), st
 
 def exact_groups(prepared: DataFrame) -> DataFrame:
     """`(k1, k2)` of equal normalised texts of at least two accounts, with counts; texts stay out of the shuffle."""
-    return (
-        prepared.where("not blank").groupBy("k1", "k2")
-        .agg(
-            F.count(F.lit(1)).alias("post_count"), F.count_distinct("acct").alias("account_count"),
-            F.min("posted_ms").alias("first_ms"), F.min("ord").alias("min_ord"),
-        )
-        .where("account_count >= 2")
+    grouped = prepared.groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("post_count"), F.count_distinct("acct").alias("account_count"),
+        F.min("posted_ms").alias("first_ms"), F.min("ord").alias("min_ord"), F.max("blank").alias("blank"),
     )
+    # blank posts go as a group: a filter before it would be pushed down and normalise every text once more
+    return grouped.where("account_count >= 2 and not blank").drop("blank")
 
 
 def exact_members(prepared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -74,15 +72,14 @@ def approximate_members(sets: DataFrame, threshold: float) -> DataFrame:
     whatever post of another account one of them links to. So components of classes are
     components of posts.
     """
-    sets = cut(sets.select("ord", "acct", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("set"), "tokens").alias("h2")))
-    classes = cut(sets.groupBy("h1", "h2").agg(F.min("ord").alias("rep"), F.min("acct").alias("first_acct"), F.max("acct").alias("last_acct")))
-    reps = sets.join(classes.drop("h1", "h2"), F.col("ord") == F.col("rep")).select("ord", F.col("first_acct").alias("acct"), "last_acct", "tokens")
-    comps, linked = linked_sets(keep(reps), threshold)
-    found = classes.join(comps, F.col("rep") == F.col("node"), "left").withColumn("mixed", F.col("first_acct") != F.col("last_acct"))
-    found = cut(found.where("mixed or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("cluster_key"), "mixed"))
+    keyed = sets.withColumns({"h1": F.xxhash64("tokens"), "h2": F.xxhash64(F.lit("set"), "tokens")})
+    classes = keep(keyed.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.min("acct").alias("acct"), F.max("acct").alias("last_acct"), F.first("tokens").alias("tokens")))
+    comps, linked = linked_sets(classes, threshold)
+    found = classes.select("h1", "h2", "ord", (F.col("acct") != F.col("last_acct")).alias("mixed")).join(comps, F.col("ord") == F.col("node"), "left")
+    found = cut(found.where("mixed or component is not null").select("h1", "h2", F.coalesce("component", "ord").alias("cluster_key"), "mixed"))
     within = found.where("mixed").select("cluster_key", F.lit(1.0).alias("sim"))
     best = linked.withColumnRenamed("component", "cluster_key").unionByName(within).groupBy("cluster_key").agg(F.max("sim").alias("sim"))
-    return sets.select("ord", "h1", "h2").join(found.drop("mixed"), ["h1", "h2"]).join(best, "cluster_key").select("ord", "cluster_key", "sim")
+    return keyed.select("ord", "h1", "h2").join(found.drop("mixed"), ["h1", "h2"]).join(best, "cluster_key").select("ord", "cluster_key", "sim")
 
 
 def rank_clusters(clusters: DataFrame) -> DataFrame:
@@ -116,7 +113,7 @@ def all_members(prepared: DataFrame, options: DetectionOptions = DetectionOption
 
 def find_duplicate_clusters(posts: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
     """One row per cluster and post: cluster columns, `position` of the post by time, account and id, post columns."""
-    members = cut(all_members(prepare(posts, options), options))
+    members = placed(all_members(prepare(posts, options), options))
     return with_posts(attach(members, cluster_table(members)), posts)
 
 
@@ -126,9 +123,14 @@ def with_posts(members: DataFrame, posts: DataFrame) -> DataFrame:
     return members.join(more, "ord").select(*(c for c in members.columns if c not in (*POST, "acct")), *POST, "acct")
 
 
+def placed(members: DataFrame) -> DataFrame:
+    """`members` with their position in their cluster, by time, account and id; a cluster of any size is spread over tasks."""
+    order = ["posted_ms", T.ja(F.col("account")), T.ja(F.col("id")), "ord"]
+    return place_in_group(members, "position", ["match_type", "cluster_key"], order).withColumn("position", F.col("position").cast("int"))
+
+
 def attach(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """`members` with the columns of their cluster and their position in it; a cluster of any size is spread over tasks."""
+    """`members` with a position, with the columns of their cluster; clusters of fewer than two accounts are not in `clusters`, and go."""
     head = clusters.select("match_type", "cluster_key", "rank", "cluster_id", "similarity", "account_count", "post_count")
-    placed = place_in_group(members, "position", ["match_type", "cluster_key"], ["posted_ms", T.ja(F.col("account")), T.ja(F.col("id")), "ord"])
-    both = placed.withColumn("position", F.col("position").cast("int")).join(head, ["match_type", "cluster_key"])
+    both = members.join(head, ["match_type", "cluster_key"])
     return both.select("rank", "cluster_id", "match_type", "similarity", "account_count", "post_count", "position", *(c for c in members.columns if c in POST), "acct")

@@ -23,7 +23,7 @@ from echotrace.operators.components import connected_components, extended
 from echotrace.operators.simjoin import APART, KEYED, candidate_pairs, keyed_prefixes, may_reach, side, verified
 from echotrace.session import cut
 
-MANY = 4.0  # pairs a prefix row at which pivots come first
+MANY, FEW = 4.0, 4_000_000.0  # pairs a prefix row, and pairs at all, beyond which pivots come first
 ROUNDS = 4  # most rounds of pivots
 
 
@@ -89,7 +89,7 @@ def _best(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return edges.join(comps, F.col("a") == F.col("node")).groupBy("component").agg(F.max("sim").alias("sim"))
 
 
-def linked_sets(sets: DataFrame, threshold: float, many: float = MANY) -> tuple[DataFrame, DataFrame]:
+def linked_sets(sets: DataFrame, threshold: float, many: float = MANY, few: float = FEW) -> tuple[DataFrame, DataFrame]:
     """`(components, best)` of the graph of sets of different accounts with similarity at least `threshold`.
 
     `sets` is as for `similar_pairs`. `components (node, component)` has the sets that link
@@ -101,7 +101,7 @@ def linked_sets(sets: DataFrame, threshold: float, many: float = MANY) -> tuple[
     c = F.col("c").cast("double")
     sizes = keyed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(c), F.lit(0.0)).alias("rows"), F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0.0)).alias("pairs"))
     rows, pairs = sizes.first()
-    if pairs <= many * rows:
+    if pairs <= max(few, many * rows):
         edges = cut(verified(candidate_pairs(keyed, threshold), sets, threshold).select("a", "b", "sim"))
         comps = connected_components(edges, "a", "b")
         return comps, _best(edges, comps)
@@ -111,7 +111,7 @@ def linked_sets(sets: DataFrame, threshold: float, many: float = MANY) -> tuple[
         comps = connected_components(found[0], "a", "b") if comps is None else extended(comps, found[-1], "a", "b")
         placed = _placed(keyed, comps)
         rows, pairs = _load(placed)
-        if pairs <= many * rows:
+        if pairs <= max(few, many * rows):
             break
     if pairs:
         found.append(cut(verified(_between(placed, threshold), sets, threshold).select("a", "b", "sim")))

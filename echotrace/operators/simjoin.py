@@ -26,26 +26,32 @@ def prefix_length(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
-def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None, carry: tuple[str, ...] = (), shared: bool = False) -> DataFrame:
     """`(ord, token)` and the columns of `carry`: the prefix tokens of every set of `sets (ord, tokens)`, rarest first.
 
-    `carry` may name `n`, the size of the set, and `pos`, the token's place in the order, from 1.
+    `carry` may name `n`, the size of the set, and `pos`, the token's place in the order,
+    from 1. With `shared` tokens of one set only are left out, as they meet nobody; they keep
+    their places, which are the first. Other columns join the prefixes last, so that the
+    tokens' shuffles carry none.
     """
     own = [c for c in carry if c not in ("n", "pos")]
-    each = sets.select("ord", *own, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    known = each.join(frequency if frequency is not None else document_frequency(sets), "token")
-    ranked = known.groupBy("ord", "n", *own).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    first = F.posexplode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), threshold))).alias("at", "t")
-    kept = ranked.select("ord", "n", *own, first).withColumn("pos", (F.col("at") + 1).cast("int"))
-    return kept.select("ord", *carry, "t.token")
+    each = sets.select("ord", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    frequency = frequency if frequency is not None else document_frequency(sets)
+    known = each.join(frequency.where("df > 1") if shared else frequency, "token")
+    ranked = known.groupBy("ord").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    alone = F.col("n") - F.size("ranked")
+    first = F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), threshold) - alone))).alias("at", "t")
+    kept = ranked.withColumn("alone", alone).select("ord", "n", "alone", first).select("ord", "n", (F.col("alone") + F.col("at") + 1).cast("int").alias("pos"), "t.token")
+    kept = kept.join(sets.select("ord", *own), "ord") if own else kept
+    return kept.select("ord", *carry, "token")
 
 
 def keyed_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """Prefix rows `(ord, acct, last, n, pos, token)` of `sets (ord, acct, tokens)`, in the shared folder."""
+    """Prefix rows `(ord, acct, last, n, pos, token)` of tokens that several of `sets (ord, acct, tokens)` have, in the shared folder."""
     if not math.isfinite(threshold) or not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     last = F.col("last_acct") if "last_acct" in sets.columns else F.col("acct")
-    return cut(prefixes(sets.select("ord", "acct", last.alias("last"), "tokens"), threshold, carry=("acct", "last", "n", "pos")))
+    return cut(prefixes(sets.select("ord", "acct", last.alias("last"), "tokens"), threshold, carry=("acct", "last", "n", "pos"), shared=True))
 
 
 #: Two rows are apart unless both stand for posts of one and the same account.

@@ -88,9 +88,10 @@ def exact_cluster_members(spark, d):
 
 @query("SELECT min(ord) AS min_ord, count(*)::BIGINT AS post_count FROM prepared WHERE norm <> '' GROUP BY norm HAVING count(*) > 1 AND count(DISTINCT acct) = 1")
 def same_account_only_dups(spark, d):
-    p = slim(spark, d).where("not blank")
-    g = p.groupBy("k1", "k2").agg(F.min("ord").alias("min_ord"), F.count(F.lit(1)).alias("post_count"), F.min("acct").alias("low"), F.max("acct").alias("high"))
-    return g.where("post_count > 1 and low = high").select("min_ord", "post_count")
+    g = slim(spark, d).groupBy("k1", "k2").agg(
+        F.min("ord").alias("min_ord"), F.count(F.lit(1)).alias("post_count"), F.min("acct").alias("low"), F.max("acct").alias("high"), F.max("blank").alias("blank")
+    )
+    return g.where("post_count > 1 and low = high and not blank").select("min_ord", "post_count")
 
 
 # text

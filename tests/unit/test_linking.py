@@ -61,7 +61,7 @@ def sets(seed, n=260):
 def test_linked_sets_equal_all_pairs(spark, seed, threshold, many):
     rows = sets(seed)
     with temporary(spark):
-        comps, best = linked_sets(spark.createDataFrame(rows, "ord long, acct string, last_acct string, tokens array<long>"), threshold, many)
+        comps, best = linked_sets(spark.createDataFrame(rows, "ord long, acct string, last_acct string, tokens array<long>"), threshold, many, 0.0)
         found, top = {r.node: r.component for r in comps.collect()}, {r.component: r.sim for r in best.collect()}
     want, sims = brute(rows, threshold)
     assert found == want
@@ -89,7 +89,7 @@ def test_benchmark_posts_by_pivots(spark):
     posts = approximate_benchmark_posts(spark, 1000)
     with temporary(spark):
         own = clusters.hashed_sets(clusters.prepare(posts))
-        comps, best = linked_sets(own, 0.8, 0.0)
+        comps, best = linked_sets(own, 0.8, 0.0, 0.0)
         assert comps.select("component").distinct().count() == 20 and comps.count() == 1000
         assert {round(r.sim, 4) for r in best.collect()} == {round(10 / 12, 4)}
 
