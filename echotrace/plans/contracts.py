@@ -15,6 +15,8 @@ from echotrace.operators import evaluation, governance, graph, latercopy, semant
 from echotrace.plans import oracle
 from echotrace.plans import registry as R
 from echotrace.plans.registry import query, table
+from echotrace.session import new_path
+from echotrace.sources import csv_table
 from echotrace.sources import posts as S
 from echotrace.sources.provider import PostSource
 
@@ -32,23 +34,49 @@ def one(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def dealt(spark, d, rows: list[tuple], schema: str) -> DataFrame:
+    """Cases dealt out to the events: each event has the case of its number."""
+    cases = F.broadcast(one(spark, [(i, *r) for i, r in enumerate(rows)], f"case int, {schema}"))
+    own = table(spark, d, "events").select("event_id", (F.col("event_id") % len(rows)).cast("int").alias("case"))
+    return own.join(cases, "case").drop("case")
+
+
+def dealt_values(rows: list[tuple], *names: str) -> str:
+    """The same for SQL."""
+    numbered = ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows))
+    return f"(SELECT event_id, {', '.join(names)} FROM events JOIN (VALUES {numbered}) v(n, {', '.join(names)}) ON event_id % {len(rows)} = n)"
+
+
 # sources
 
-CSV = 'text,id,postedAt,url,account,more\r\n"a ""quoted"", text\nof two lines",1,2024-01-01T00:00:00Z,https://e.example/1,@@alpha,x\r\n ,,,,,\r\nplain,2,2024-01-01T09:00:00+09:00,https://e.example/2,beta,\r\n'
-POSTS = [(0, "1", "alpha", "https://e.example/1", 1704067200000, 'a "quoted", text\nof two lines'), (1, "2", "beta", "https://e.example/2", 1704067200000, "plain")]
-POST_COLUMNS = ("ord", "id", "account", "url", "posted_ms", "text")
-_POSTS_SQL = f"SELECT ord::BIGINT AS ord, id, account, url, posted_ms::BIGINT AS posted_ms, text FROM {values(POSTS, *POST_COLUMNS)}"
+def _quoted(*cells: str):
+    return F.concat_ws(",", *(F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells))
 
 
-@query(_POSTS_SQL)
+@query("SELECT doc_id AS ord, id, account, url, posted_at AS \"postedAt\", coalesce(text, '') AS text FROM (SELECT *, ord AS doc_id FROM posts)")
 def csv_source(spark, d):
-    return S.parse_input(spark, CSV, "Posts.CSV").select(*POST_COLUMNS)
+    """The posts written as a CSV table of many files, quoted breaks and all, and read back by the exact parallel source."""
+    own, path = R.posts(spark, d).withColumnRenamed("posted_at", "postedAt"), new_path(spark)
+    lines = own.select("ord", _quoted("text", "id", "postedAt", "url", "account", "id").alias("line"))
+    sinks.write_lines(lines, ("text", "id", "postedAt", "url", "account", "more"), path, "ord")
+    return csv_table.scan_posts(spark, path).select("ord", "id", "account", "url", "postedAt", "text")
 
 
-@query(_POSTS_SQL)
+@query("SELECT conv_id, ord, id, account, text FROM (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS ord, conv_id || '-' || turn AS id, role AS account, text FROM conversations)")
 def json_source(spark, d):
-    rows = [{"id": "1", "account": "@alpha", "url": "https://e.example/1", "postedAt": "2024-01-01T00:00:00Z", "text": POSTS[0][5]}, {"id": " 2 ", "account": "beta", "url": "https://e.example/2", "postedAt": "2024-01-01T09:00:00+09:00", "text": "plain"}]
-    return S.parse_input(spark, json.dumps({"posts": rows, "data": 1}), "posts.json").select(*POST_COLUMNS)
+    """Conversations as JSON documents of posts, one a row, and read back as posts."""
+    post = F.struct("turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("account"), F.lit("https://e.example").alias("url"), F.lit(1).alias("postedAt"), "text")
+    files = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(post)).alias("posts"))).alias("content"))
+    return S.posts_of_json(files, "conv_id").where("postedAt is null").select("conv_id", "ord", "id", "account", "text")
+
+
+@query("SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY source")
+def utf8_files(spark, d):
+    """Texts written as files by source, and read back as whole files of valid text."""
+    path = new_path(spark)
+    table(spark, d, "documents").where("text is not null").select("text", "source").repartition("source").write.partitionBy("source").text(path)
+    files = S.scan_utf8(spark, path).where("text is not null")
+    return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL ORDER BY doc_id")
@@ -58,15 +86,16 @@ def utf8_source(spark, d):
     return own.select("doc_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
-CASES = [("c1", "same", "left one", "right one", "match"), ("c2", "other", "left two", "right two", "non_match")]
-CASE_COLUMNS = ("id", "category", "leftText", "rightText", "expectedLabel")
-
-
-@query(f"SELECT id, category, leftText, rightText, expectedLabel FROM {values(CASES, *CASE_COLUMNS)}")
+@query("SELECT doc_id::VARCHAR AS id, 'c' || doc_id % 3 AS category, 'left ' || doc_id AS \"leftText\", 'right ' || doc_id AS \"rightText\", CASE WHEN quality = 1 THEN 'match' ELSE 'non_match' END AS \"expectedLabel\" FROM labels")
 def evaluation_cases(spark, d):
-    content = json.dumps({"version": "1", "purpose": "test", "cases": [dict(zip(CASE_COLUMNS, c)) for c in CASES]})
-    rows = one(spark, [(content,)], "content string").select(F.from_json("content", S.CASES).alias("file"))
-    return S.cases_of(rows.select("file.cases"))
+    """Labels as evaluation files by source of the label, and their cases read back."""
+    k = F.col("doc_id").cast("string")
+    case = F.struct(
+        k.alias("id"), F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("category"), F.concat(F.lit("left "), k).alias("leftText"), F.concat(F.lit("right "), k).alias("rightText"),
+        F.when(F.col("quality") == 1, "match").otherwise("non_match").alias("expectedLabel"),
+    )
+    files = table(spark, d, "labels").groupBy(F.expr("doc_id div 100")).agg(F.to_json(F.struct(F.lit("1").alias("version"), F.collect_list(case).alias("cases"))).alias("content"))
+    return S.cases_of(files.select(F.from_json("content", S.CASES).alias("file")).select("file.cases"))
 
 
 def _generated(spark, posts) -> DataFrame:
@@ -74,44 +103,49 @@ def _generated(spark, posts) -> DataFrame:
     return found.groupBy("match_type").agg(F.count(F.lit(1)).alias("clusters"), F.sum("post_count").alias("posts"))
 
 
-@query("SELECT 'exact' AS match_type, 100::BIGINT AS clusters, 1000::BIGINT AS posts")
+_SIZE = "(SELECT count(*) FROM documents)"  # as many posts as there are documents, in whole groups and a rest of one
+
+
+@query(f"SELECT 'exact' AS match_type, ({_SIZE} // 10)::BIGINT AS clusters, ({_SIZE} // 10 * 10)::BIGINT AS posts")
 def generated_exact_clusters(spark, d):
-    return _generated(spark, S.exact_benchmark_posts(spark, 1000))
+    return _generated(spark, S.exact_benchmark_posts(spark, table(spark, d, "documents").count() // 10 * 10 + 1))
 
 
-@query("SELECT 'approximate' AS match_type, 20::BIGINT AS clusters, 1000::BIGINT AS posts")
+@query(f"SELECT 'approximate' AS match_type, ({_SIZE} // 50)::BIGINT AS clusters, ({_SIZE} // 50 * 50)::BIGINT AS posts")
 def generated_approximate_clusters(spark, d):
-    return _generated(spark, S.approximate_benchmark_posts(spark, 1000))
-
+    return _generated(spark, S.approximate_benchmark_posts(spark, table(spark, d, "documents").count() // 50 * 50 + 1))
 
-class ListedPosts:
-    """A connector over two fixed posts, for the query below and as an example."""
 
-    posts = [dict(zip(("id", "account", "url", "postedAt", "text"), (i, a, u, "2024-01-01T00:00:00Z", t))) for _, i, a, u, _, t in POSTS]
+class NamedPosts:
+    """A connector that answers each question with one post of that name, for the query below and as an example."""
 
     def search_posts(self, wanted: str):
-        return [p for p in self.posts if wanted in p["text"]]
+        return [{"id": f"of {wanted}", "account": wanted, "url": "https://e.example", "postedAt": "2024-01-01T00:00:00Z", "text": f"about {wanted}"}]
 
     def get_post(self, post_id: str):
-        return next((p for p in self.posts if p["id"] == post_id), None)
+        return None
 
 
-@query(f"SELECT id, account, text FROM {values(POSTS, *POST_COLUMNS)} UNION ALL SELECT id, account, text FROM {values(POSTS[:1], *POST_COLUMNS)}")
+@query("SELECT 'of ' || source AS id, source AS account, 'about ' || source AS text, count(*)::BIGINT AS documents FROM documents GROUP BY source")
 def provider_source(spark, d):
+    """The accounts of the documents, of which there are few, looked up by a connector and joined to their documents."""
     from echotrace.session import ship
 
     ship(spark)
     spark.dataSource.register(PostSource)
-    own = spark.read.format("posts").option("provider", f"{__name__}:ListedPosts").option("queries", "plain\nquoted").option("ids", "1\n9")
-    return own.load().select("id", "account", "text")
+    own = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    wanted = "\n".join(r.source for r in own.select("source").collect())
+    found = spark.read.format("posts").option("provider", f"{__name__}:NamedPosts").option("queries", wanted).load()
+    return found.join(own, F.col("account") == F.col("source")).select("id", "account", "text", "documents")
 
 
 NFKC = [("ＡＢＣ　①ｶﾞ", "ABC 1ガ"), ("ﬁ ﾊﾟ", "fi パ"), ("plain", "plain"), ("é①", "é1"), ("㍿", "株式会社")]
 
 
-@query(f"SELECT text, nfkc FROM {values(NFKC, 'text', 'nfkc')}")
+@query(f"SELECT event_id, nfkc || event_id AS nfkc FROM {dealt_values(NFKC, 'text', 'nfkc')}")
 def nfkc_normalized(spark, d):
-    return one(spark, [(t,) for t, _ in NFKC], "text string").select("text", T.nfkc(F.col("text")).alias("nfkc"))
+    own = dealt(spark, d, [(t,) for t, _ in NFKC], "text string")
+    return own.select("event_id", T.nfkc(F.concat("text", F.col("event_id").cast("string"))).alias("nfkc"))
 
 
 # judges
@@ -119,9 +153,9 @@ def nfkc_normalized(spark, d):
 MODELS = ["vendor/model-1", "a-b/C.d:e_f", "Vendor/model", "router/auto", "vendor/", "/model", "vendor/model 1", "-v/m", "v/m\n", "", "9v/x-1"]
 
 
-@query(f"SELECT model, regexp_full_match(model, '[a-z0-9][a-z0-9-]*/[A-Za-z0-9._:-]+') AND model <> 'router/auto' AS fixed FROM {values([(m,) for m in MODELS], 'model')}")
+@query(f"SELECT event_id, model, regexp_full_match(model, '[a-z0-9][a-z0-9-]*/[A-Za-z0-9._:-]+') AND model <> 'router/auto' AS fixed FROM {dealt_values([(m,) for m in MODELS], 'model')}")
 def judge_models(spark, d):
-    return one(spark, [(m,) for m in MODELS], "model string").select("model", J.is_fixed_model(F.col("model"), "router/auto").alias("fixed"))
+    return dealt(spark, d, [(m,) for m in MODELS], "model string").select("event_id", "model", J.is_fixed_model(F.col("model"), "router/auto").alias("fixed"))
 
 
 @query("""SELECT event_id, CASE 399 + event_id % 105 WHEN 401 THEN 'provider_auth_failed' WHEN 402 THEN 'provider_quota_exceeded' WHEN 429 THEN 'provider_rate_limited'
@@ -133,9 +167,9 @@ def judge_error_reasons(spark, d):
 RETRY = [("0", 0), ("007", 7), ("120", 120), ("9007199254740991", 9007199254740991), ("9007199254740992", None), ("99999999999999999999999999", None), ("-1", None), ("1.5", None), (" 3", None), ("3 ", None), ("", None), ("soon", None), (None, None)]
 
 
-@query(f"SELECT header, seconds::BIGINT::VARCHAR AS seconds FROM {values(RETRY, 'header', 'seconds')}")
+@query(f"SELECT event_id, header, seconds::BIGINT::VARCHAR AS seconds FROM {dealt_values(RETRY, 'header', 'seconds')}")
 def judge_retry_after(spark, d):
-    return one(spark, [(h,) for h, _ in RETRY], "header string").select("header", J.retry_after(F.col("header")).cast("string").alias("seconds"))
+    return dealt(spark, d, [(h,) for h, _ in RETRY], "header string").select("event_id", "header", J.retry_after(F.col("header")).cast("string").alias("seconds"))
 
 
 VERDICTS = [
@@ -145,10 +179,10 @@ VERDICTS = [
 ]
 
 
-@query(f"SELECT content, label, score::DOUBLE AS score FROM {values(VERDICTS, 'content', 'label', 'score')}")
+@query(f"SELECT event_id, content, label, score::DOUBLE AS score FROM {dealt_values(VERDICTS, 'content', 'label', 'score')}")
 def judge_verdicts(spark, d):
     v = J.verdict(F.col("content"))
-    return one(spark, [(c,) for c, _, _ in VERDICTS], "content string").select("content", v["label"].alias("label"), v["score"].alias("score"))
+    return dealt(spark, d, [(c,) for c, _, _ in VERDICTS], "content string").select("event_id", "content", v["label"].alias("label"), v["score"].alias("score"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 0 AND value = floor(value) THEN value::BIGINT ELSE 0 END AS tokens FROM (SELECT event_id, (event_id % 7 - 2) * 0.5::DOUBLE AS value FROM events)")
@@ -171,14 +205,25 @@ RESPONSES = [
 RESPONSE_COLUMNS = ("status_code", "retry", "body", "model_header", "status", "label", "score", "model", "input_tokens", "output_tokens", "reason", "retry_after")
 
 
-@query(f"""SELECT status_code::INTEGER AS status_code, status, label, score::DOUBLE AS score, model, input_tokens::BIGINT AS input_tokens, output_tokens::BIGINT AS output_tokens, reason, retry_after::BIGINT::VARCHAR AS retry_after
-FROM {values(RESPONSES, *RESPONSE_COLUMNS)}""")
+REQUEST = "status_code int, retry string, body string, model_header string"
+
+
 def judge_responses(spark, d):
-    rows = one(spark, [r[:4] for r in RESPONSES], "status_code int, retry string, body string, model_header string")
+    """The cases by themselves."""
+    return judgments_of(one(spark, [r[:4] for r in RESPONSES], REQUEST))
+
+
+@query(f"""SELECT event_id, status_code::INTEGER AS status_code, status, label, score::DOUBLE AS score, model, input_tokens::BIGINT AS input_tokens, output_tokens::BIGINT AS output_tokens, reason, retry_after::BIGINT::VARCHAR AS retry_after
+FROM {dealt_values(RESPONSES, *RESPONSE_COLUMNS)}""", "judge_responses")
+def responses_of_events(spark, d):
+    return judgments_of(dealt(spark, d, [r[:4] for r in RESPONSES], REQUEST), "event_id")
+
+
+def judgments_of(rows: DataFrame, *more: str) -> DataFrame:
     j = J.judgment(F.col("status_code"), F.col("retry"), F.col("body"), F.col("model_header"), "v/asked")
-    own = rows.select("status_code", j.alias("j"))
+    own = rows.select(*more, "status_code", j.alias("j"))
     return own.select(
-        "status_code", "j.status", "j.label", "j.score", F.col("j.resolvedModel").alias("model"), F.col("j.usage.inputTokens").alias("input_tokens"), F.col("j.usage.outputTokens").alias("output_tokens"), "j.reason", F.col("j.retryAfterSeconds").cast("string").alias("retry_after")
+        *more, "status_code", "j.status", "j.label", "j.score", F.col("j.resolvedModel").alias("model"), F.col("j.usage.inputTokens").alias("input_tokens"), F.col("j.usage.outputTokens").alias("output_tokens"), "j.reason", F.col("j.retryAfterSeconds").cast("string").alias("retry_after")
     )
 
 

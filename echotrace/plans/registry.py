@@ -131,10 +131,11 @@ def prefix_tokens(spark, d):
 MIXED = ["18時に公開", "市場abc", "ーー", "abc 東 カ ひら", "𠮷野 9_x", "", "é Ünï 12"]
 
 
-@query("SELECT text, unnest(" + oracle.tokens("text") + ") AS token FROM (VALUES " + ", ".join(f"('{t}')" for t in MIXED) + ") v(text)")
+@query("SELECT conv_id, turn, unnest(" + oracle.tokens("list_extract([" + ", ".join(f"'{t}'" for t in MIXED) + f"], conv_id % {len(MIXED)} + 1) || lower(text)") + ") AS token FROM conversations")
 def mixed_script_tokens(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, MIXED))).alias("text"))
-    return rows.select("text", F.explode(T.tokens(F.col("text"))).alias("token"))
+    """Tokens of conversations behind texts of mixed scripts."""
+    mixed = F.get(F.array(*map(F.lit, MIXED)), (F.col("conv_id") % len(MIXED)).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.tokens(F.concat(mixed, F.lower("text")))).alias("token"))
 
 
 # similarity joins and clusters

@@ -106,7 +106,8 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         _delete(spark, folder)
 
 
-def _new_table(spark: SparkSession, outside: bool) -> str:
+def new_path(spark: SparkSession, outside: bool = False) -> str:
+    """A path in the shared folder for one more table or folder of files; it goes as those of `cut` and `keep` do."""
     inner = _scopes.get()[: -1 if outside else None]
     return f"{inner[-1] if inner else _session_folder(spark)}/{uuid.uuid4().hex}"
 
@@ -131,7 +132,7 @@ def cut(df: DataFrame, rows: int | None = None, outside: bool = False) -> DataFr
 def keep(df: DataFrame, outside: bool = False) -> DataFrame:
     """Materialise a wide frame in the shared folder as it is dealt out, for plans that read parts of it several times."""
     spark = df.sparkSession
-    path = _new_table(spark, outside)
+    path = new_path(spark, outside)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,12 +13,18 @@ RAW = "ord long, id string, account string, url string, postedAt string, text st
 FIELDS = ("id", "account", "url", "postedAt", "text")
 
 
+def scan_utf8(spark: SparkSession, path: str) -> DataFrame:
+    """`(path, text)` of files, without a byte order mark; the text is null where the bytes are no UTF-8."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.regexp_replace(text, "^\ufeff", "").alias("text"))
+
+
 def read_utf8(spark: SparkSession, path: str) -> str:
-    """The text of a file, without a byte order mark; bytes that are no UTF-8 are an error."""
-    row = spark.read.format("binaryFile").load(path).select(F.try_validate_utf8(F.col("content").cast("string")).alias("s")).first()
-    if row is None or row["s"] is None:
+    """The text of one file, see `scan_utf8`; bytes that are no UTF-8 are an error."""
+    row = scan_utf8(spark, path).first()
+    if row is None or row["text"] is None:
         raise InputValidationError(["the file is not valid UTF-8"])
-    return row["s"].removeprefix("\ufeff")
+    return row["text"]
 
 
 def split_csv(content: str) -> list[list[str]]:
@@ -106,6 +112,19 @@ def from_json(spark: SparkSession, content: str) -> DataFrame:
     return spark.createDataFrame([(i, *(text(p.get(f)) for f in FIELDS)) for i, p in enumerate(parsed)], RAW)
 
 
+def posts_of_json(files: DataFrame, key: str) -> DataFrame:
+    """`(key, ord, ...FIELDS)` of JSON documents `(key, content)`, each an array of posts or an object with `posts`, in parallel.
+
+    Values that are no strings become null, posts that are no objects have none, and a
+    document that is not of either form gives no rows.
+    """
+    document = files.select(key, F.try_parse_json("content").alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$.posts", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    posts = document.select(key, F.posexplode(listed).alias("ord", "p"))
+    text = lambda f: F.when(F.schema_of_variant(F.try_variant_get("p", f"$.{f}", "variant")) == "STRING", F.try_variant_get("p", f"$.{f}", "string")).alias(f)
+    return posts.select(key, F.col("ord").cast("long").alias("ord"), *(text(f) for f in FIELDS))
+
+
 def from_api_export(spark: SparkSession, payload: dict) -> DataFrame:
     """Raw posts of `{data: [...], includes: {users: [...]}}`; all errors are told together."""
     if not isinstance(payload.get("data"), list):
