@@ -81,3 +81,24 @@ def extended(components: DataFrame, edges: DataFrame, left: str, right: str) ->
     to = joined.select(F.col("node").alias("at"), F.col("component").alias("to"))
     old = components.join(to, F.col("component") == F.col("at"), "left").select("node", F.coalesce("to", "component").alias("component"))
     return cut(old.unionByName(joined.join(components, "node", "left_anti").select("node", "component")))
+
+
+def edited(components: DataFrame, edges: DataFrame, removed: DataFrame, added: DataFrame, left: str, right: str) -> DataFrame:
+    """`components (node, component)` of `edges` after `removed` edges went and `added` ones came.
+
+    `edges` are those that `components` are of, `removed` some of them; both may be given in
+    either direction. Only components that lose an edge are taken apart: of the others no
+    edge is read beyond its component's id. Then the additions merge what they connect. A
+    node whose last edge went is not in the result.
+    """
+    ends = lambda e: e.where(F.col(left) != F.col(right)).select(F.least(left, right).alias("l"), F.greatest(left, right).alias("r")).distinct()
+    gone = cut(ends(removed))
+    at = components.select(F.col("node").alias("l"), "component")
+    hit = cut(gone.join(at, "l").select("component").distinct())
+    if hit.isEmpty():
+        return extended(components, added, left, right)
+    nodes = components.join(hit, "component", "left_semi").select(F.col("node").alias("l"))
+    inside = ends(edges).join(nodes, "l", "left_semi").join(gone, ["l", "r"], "left_anti")  # both ends of an edge are in one component
+    again = connected_components(inside, "l", "r")
+    rest = components.join(hit, "component", "left_anti").select("node", "component")
+    return extended(cut(rest.unionByName(again)), added, left, right)

@@ -11,11 +11,11 @@ from echotrace import sinks
 from echotrace.functions import judgment as J
 from echotrace.functions import text as T
 from echotrace.operators import clusters as C
-from echotrace.operators import evaluation, governance, graph, latercopy, semantic, simjoin
+from echotrace.operators import components, evaluation, governance, graph, latercopy, semantic, simjoin
 from echotrace.plans import oracle
 from echotrace.plans import registry as R
 from echotrace.plans.registry import query, table
-from echotrace.session import new_path
+from echotrace.session import cut, new_path
 from echotrace.sources import csv_table
 from echotrace.sources import posts as S
 from echotrace.sources.provider import PostSource
@@ -282,6 +282,18 @@ def later_copies_in_order(spark, d):
     return ordered.select(F.row_number().over(Window.orderBy("at")).alias("place"), "o_id", "c_id")  # one origin account's copies
 
 
+@query("SELECT node, component FROM comps", other={"edges": """SELECT a, b FROM sims WHERE sim >= 0.8::DOUBLE AND (a * 7 + b) % 3 <> 0
+  UNION ALL SELECT ord, ord + 1 FROM posts WHERE ord % 97 = 0 AND ord + 1 IN (SELECT ord FROM posts)"""})
+def components_after_edits(spark, d):
+    """Components of similar posts after a third of the links went and some others came."""
+    p = R.prepared(spark, d)
+    links = cut(simjoin.similar_pairs(C.hashed_sets(C.leftovers(p, C.exact_groups(p))), 0.8).select("a", "b"))
+    removed = links.where((F.col("a") * 7 + F.col("b")) % 3 == 0)
+    own = R.posts(spark, d).select(F.col("ord").alias("a"))
+    added = own.where("a % 97 = 0").join(own.select((F.col("a") - 1).alias("before")), F.col("a") == F.col("before")).select("a", (F.col("a") + 1).alias("b"))
+    return components.edited(components.connected_components(links, "a", "b"), links, removed, added, "a", "b")
+
+
 # evaluation, graph and governance
 
 @query("""WITH c AS (SELECT CASE WHEN doc_id % 23 = 0 THEN 'twice' ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 19 = 0 THEN 'maybe' ELSE 'match' END AS e FROM labels),

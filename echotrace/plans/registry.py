@@ -25,13 +25,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, other: dict[str, str] | None = None):
     """Register a query, with its SQL if it has any. Tables that it writes on the way are deleted when its result is written."""
 
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = lambda spark, d: settled(spark, lambda: f(spark, d))
         if sql is not None:
-            ORACLES[name or f.__name__] = oracle.sql(sql)
+            ORACLES[name or f.__name__] = oracle.sql(sql, other)
         return f
 
     return add
