@@ -12,6 +12,7 @@ from echotrace.functions import judgment as J
 from echotrace.functions import text as T
 from echotrace.operators import clusters as C
 from echotrace.operators import components, evaluation, governance, graph, latercopy, semantic, simjoin
+from echotrace.options import DetectionOptions
 from echotrace.plans import oracle
 from echotrace.plans import registry as R
 from echotrace.plans.registry import query, table
@@ -368,3 +369,17 @@ def evidence_articles(spark, d):
         F.regexp_extract(html, "<h3>(C-[0-9]+) ", 1).alias("cluster_id"), F.regexp_count(html, F.lit('<section class="post">')).cast("long").alias("post_count"),
         F.when(html.contains("<span>完全一致</span>"), "exact").otherwise("approximate").alias("match_type"),
     )
+
+
+@query("SELECT 'C-' || CASE WHEN rank < 1000 THEN lpad(rank::VARCHAR, 3, '0') ELSE rank::VARCHAR END AS cluster_id, position, sum(n)::BIGINT AS posts FROM (SELECT rank, position, 1 AS n FROM members) GROUP BY ALL")
+def evidence_package(spark, d):
+    """The posts of the written evidence document, read back from its files."""
+    own, path = cut(R.members(spark, d)), new_path(spark)
+    sinks.write_evidence(sinks.cluster_pieces(own), own.where("position = 1").count(), path, sinks.option_rows(DetectionOptions()))
+    lines = spark.read.text(path).where("value like '%<section class=\"post\"><h4>%'").select(
+        F.regexp_extract("value", "^<article><header><h3>(C-[0-9]+) ", 1).alias("opened"), F.regexp_extract("value", '<section class="post"><h4>証拠投稿 ([0-9]+)</h4>', 1).cast("int").alias("position"),
+        F.regexp_extract("value", 'href="([^"]*)"', 1).alias("url"),
+    )
+    # a piece's cluster is that of its post; the first piece of each says so itself
+    both = lines.join(own.select("url", "cluster_id", F.col("position").alias("place")), "url").where("position = place and (opened = '' or opened = cluster_id) and (opened = '') = (position > 1)")
+    return both.groupBy("cluster_id", "position").agg(F.count(F.lit(1)).alias("posts"))
