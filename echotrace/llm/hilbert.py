@@ -59,23 +59,32 @@ def curve() -> Column:
     return F.lit([hilbert_index((c // side // side, c // side % side, c % side), BITS) for c in range(side**DIMS)])
 
 
-def _starts(values: DataFrame) -> list:
-    """The least value of each bin of `values (v)` but the first: at most 15, in order. Nulls are in the first bin.
+def _starts(docs: DataFrame, dims: list[Column]) -> list[list]:
+    """The least value of each bin of each dimension, a string or a whole number, but the first: at most 15, in order. Nulls are in the first bin.
 
-    The bin of a value is its share of rows before it, over all rows; equal values are counted first.
+    The bin of a value is its share of rows before it, over all rows that have one; equal values are counted first.
     """
-    side, parts = 1 << BITS, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = cut(values.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    ordered = cut(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
-    sums = ordered.groupBy("part").agg(F.sum("n").alias("rows"))
-    total = sums.agg(F.sum("rows")).first()[0]
-    if not total:
-        return []
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    running = ordered.withColumn("inside", inside).join(F.broadcast(sums.select("part", before.alias("before"))), "part")
-    bins = running.select("v", F.floor((F.col("before") + F.col("inside")) * side / total).alias("bin"))
-    return [r["low"] for r in bins.groupBy("bin").agg(F.min("v").alias("low")).orderBy("bin").collect() if r["bin"] > 0]
+    side, parts = 1 << BITS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ("dim", "s", "n")
+    kinds = [dict(docs.select(v.alias("v")).dtypes)["v"] for v in dims]
+    values = docs.select(F.explode(F.array(*(
+        F.struct(F.lit(i).alias("dim"), (v if kind == "string" else F.lit(None).cast("string")).alias("s"), (F.lit(None) if kind == "string" else v).cast("long").alias("n"))
+        for i, (v, kind) in enumerate(zip(dims, kinds))
+    ))).alias("v")).select("v.*").where("s is not null or n is not null")
+    counts = cut(values.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")))
+    ordered = cut(counts.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()))
+    sums = ordered.groupBy("dim", "part").agg(F.sum("rows").alias("own"))  # a row for each partition and dimension
+    all_of = Window.partitionBy("dim")
+    before = F.coalesce(F.sum("own").over(all_of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("dim", "part", before.alias("before"), F.sum("own").over(all_of).alias("total"))
+    inside = F.coalesce(F.sum("rows").over(Window.partitionBy("dim", "part").orderBy("s", "n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    running = ordered.withColumn("inside", inside).join(F.broadcast(sums), ["dim", "part"])
+    bins = running.select(*key, F.floor((F.col("before") + F.col("inside")) * side / F.col("total")).alias("bin"))
+    starts: list[list] = [[] for _ in dims]
+    for r in bins.groupBy("dim", "bin").agg(F.min(F.struct("s", "n")).alias("low")).orderBy("dim", "bin").collect():  # 16 rows a dimension
+        if r["bin"] > 0:
+            starts[r["dim"]].append(r["low"]["n"] if r["low"]["s"] is None else r["low"]["s"])
+    return starts
 
 
 def _bin(value: Column, starts: list) -> Column:
@@ -90,8 +99,8 @@ def _cell(docs: DataFrame, text: Column) -> Column:
     dims = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")] + [F.octet_length(text)]
     side = 1 << BITS
     cell = F.lit(0)
-    for value in dims:
-        cell = cell * side + _bin(value, _starts(docs.select(value.alias("v"))))
+    for value, starts in zip(dims, _starts(docs, dims)):
+        cell = cell * side + _bin(value, starts)
     return cell.cast("int")
 
 
