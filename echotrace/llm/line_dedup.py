@@ -9,6 +9,10 @@ document of it are dropped there and then. The rows of the first documents alone
 one document a cell, meet once more by hash, where all but the smallest document's are
 dropped. No line key is aggregated, and no text is moved for it.
 
+Texts of documents that lose lines meet their bitmaps by a shuffle join. All others stay
+where they were read, but for those that a filter of one bit a hash takes for losers; it
+has 8 MB at most, whatever the input, so that its misses grow where losers are many.
+
 What comes back are not texts but, for each document that loses lines, a compressed keep
 bitmap: 64-bit words, those of lines that all stay left out and counted as a skip.
 """
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 
 from echotrace.session import Scratch, cut
 
+FILTER_BLOCKS = 2048  # of 32,768 bits, 4 KB: at most 8 MB are broadcast
+BLOCK_BITS = 32_768  # fixed by the bitmap functions
 BLANKS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,38 +90,58 @@ def kept_text(text: str, words: str) -> Column:
     return F.expr(f"array_join(transform(array(named_struct('lines', {lines}, 'whole', {whole})), x -> array_join(filter(x.lines, (line, i) -> {stays}), '\\n')), '')")
 
 
+def _parted(docs: DataFrame, losers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` whose doc_id may be in the column of `losers`, and those whose doc_id surely is not.
+
+    A null doc_id is among the latter.
+    """
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("loses"), key.cast("long")), F.lit(FILTER_BLOCKS * BLOCK_BITS))
+
+    at = place(losers[losers.columns[0]])
+    blocks = losers.select(F.floor(at / BLOCK_BITS).alias("block"), (at % BLOCK_BITS).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = place(docs["doc_id"])
+    met = docs.join(F.broadcast(blocks), F.floor(at / BLOCK_BITS) == blocks["block"], "left")
+    byte = F.conv(F.hex(F.substring(blocks["bits"], F.floor(at % BLOCK_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = docs["doc_id"].isNotNull() & F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    return met.where(may).select(*own), met.where(~may).select(*own)
+
+
+def _n_lines(text: str) -> Column:
+    return F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """`(doc_id, n_lines, n_dropped, words, kept_text)`, one row per row of `docs (doc_id, text, ...)`.
 
     A null or empty text is one empty line. `words` is null where nothing is dropped. Other
     columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    own = _text(docs).withColumn("text_hash", F.xxhash64("text"))
     maps = keep_bitmaps(docs, min_chars).withColumnsRenamed({"doc_id": "map_id", "text_hash": "map_hash"})
-    found = own.join(maps.hint("shuffle_hash"), (own["doc_id"] == maps["map_id"]) & (own["text_hash"] == maps["map_hash"]), "left")
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return found.select(
-        "doc_id",
-        n_lines.cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        "words",
-        F.when(F.col("words").isNull(), F.col("text")).otherwise(kept_text("text", "words")).alias("kept_text"),
-    )
+    some, others = _parted(_text(docs), maps.select("map_id"))
+    found = some.join(maps.hint("shuffle_hash"), (some["doc_id"] == maps["map_id"]) & (F.xxhash64(some["text"]) == maps["map_hash"]), "left")
+    kept = F.when(F.col("words").isNull(), F.col("text")).otherwise(kept_text("text", "words"))
+    found = found.select("doc_id", _n_lines("text").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "words", kept.alias("kept_text"))
+    whole = others.select("doc_id", _n_lines("text").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit(None).cast(maps.schema["words"].dataType).alias("words"), F.col("text").alias("kept_text"))
+    return found.unionByName(whole)
 
 
 def rewrite(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """`docs` with duplicate lines taken out of `text`, all other columns and rows as they are.
 
     `n_chars`, if there, follows the text. A document that loses all its lines goes. Rows
-    that lose no line stay as they are, null texts too.
+    that lose no line stay as they are, null texts too. Other columns may have any names.
     """
-    maps = keep_bitmaps(docs, min_chars).select(
-        F.col("doc_id").alias("__map_id"), F.col("text_hash").alias("__map_hash"), F.col("n_dropped").alias("__dropped"), F.col("words").alias("__words")
-    )
-    own_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    found = docs.join(maps.hint("shuffle_hash"), (docs["doc_id"] == maps["__map_id"]) & (own_hash == maps["__map_hash"]), "left")
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    found = found.where(F.col("__dropped").isNull() | (F.col("__dropped") < lines))
-    text = F.when(F.col("__words").isNull(), F.col("text")).otherwise(kept_text("text", "__words"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("__words").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    own = "__"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    words = own + "words"
+    maps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias(own + "id"), F.col("text_hash").alias(own + "hash"), F.col("n_dropped").alias(own + "dropped"), F.col("words").alias(words))
+    some, others = _parted(docs, maps.select(own + "id"))
+    own_hash = F.xxhash64(F.coalesce(some["text"].cast("string"), F.lit("")))
+    found = some.join(maps.hint("shuffle_hash"), (some["doc_id"] == maps[own + "id"]) & (own_hash == maps[own + "hash"]), "left")
+    found = found.where(F.col(own + "dropped").isNull() | (F.col(own + "dropped") < _n_lines("text")))
+    text = F.when(F.col(words).isNull(), F.col("text")).otherwise(kept_text("text", words))
+    new = {"text": text} | ({"n_chars": F.when(F.col(words).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns)).unionByName(others)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -60,6 +61,24 @@ def test_line_dedup_streams_sorted_ranges(spark):
     assert all(w.word != -1 for r in maps.collect() for w in r.words)  # words of ones take no room
 
 
+def test_line_dedup_rewrites_beside_busy_names(spark):
+    rows = [(1, "a line of text\nmine"), (2, "A line of text\nown too"), (3, "nothing shared here"), (None, "a line of text"), (4, None), (5, "a line of text")]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("x") for c in ("__id", "__words", "___hash", "__dropped", "block", "bits", "a.b", "map_id")})
+    new = line_dedup.rewrite(docs)
+    assert new.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in new.collect()) == [(0, "a line of text"), (1, "a line of text\nmine"), (2, "own too"), (3, "nothing shared here"), (4, "")]
+    assert line_dedup.rewrite(docs.where("false")).count() == 0
+
+
+def test_line_dedup_leaves_other_texts_in_place(spark):
+    """Only rows that the filter lets through are shuffled with their texts; it never misses a loser."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], DOC)
+    some, others = line_dedup._parted(docs, docs.where("doc_id % 7 = 0").select("doc_id"))
+    some, others = {r.doc_id for r in some.collect()}, {r.doc_id for r in others.collect()}
+    assert some | others == set(range(3000)) and not some & others
+    assert {i for i in range(3000) if i % 7 == 0} <= some and len(some) < 3000 // 7 + 20
+
+
 def test_line_dedup_without_id(spark):
     docs = spark.createDataFrame([(None, "a line of text"), (1, "a line of text"), (None, None)], DOC)
     assert sorted(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) == [0, 0, 0]
@@ -377,6 +396,38 @@ def plain_layout(rows, shards):
     return out
 
 
+def plain_bins(values):
+    """The bin of each value: its share of the smaller values, in sixteenths, numbered anew and spread over the side."""
+    known = sorted(v for v in values if v is not None)
+    share = {v: known.index(v) * 16 // len(known) for v in set(known)}
+    used = sorted(set(share.values()))
+    return [(used.index(share[v]) if v is not None else 0) * (16 // max(1, len(used))) for v in values]
+
+
+def plain_cells(rows):
+    """rows: (doc_id, lang, source, text) -> {doc_id: place of its cell on the curve}"""
+    dims = [plain_bins([r[1] for r in rows]), plain_bins([r[2] for r in rows]), plain_bins([len((r[3] or "").encode()) for r in rows])]
+    return {r[0]: hilbert.hilbert_index(point, 4) for r, point in zip(rows, zip(*dims))}
+
+
+def plain_hashes(text):
+    """The two hashes that order a cell, as signed 64-bit numbers."""
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    data = (text or "").encode()
+    return signed(xxhash.xxh64_intdigest(data, 42)), signed(xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(b"second", 42)))
+
+
+def test_cells_equal_plain_restatement(spark):
+    """Nulls, ties, empty and very long texts, few and many distinct values, repeated rows."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice(["de", "en", "fr", None]), rng.choice(["hot"] * 9 + [f"s{k:02d}" for k in range(40)]), rng.choice([None, "", "a", "é" * rng.randrange(99), "x" * rng.randrange(3000)])) for i in range(900)]
+    rows += [(900, "en", "hot", "long " * 400_000), (901, "en", "hot", "long " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    for some in (docs, docs.repartition(13)):
+        cell = F.get(hilbert.curve(), hilbert._cell(some, F.coalesce("text", F.lit(""))))
+        assert {r.doc_id: r.c for r in some.select("doc_id", cell.alias("c")).collect()} == plain_cells(rows)
+
+
 def test_layout_equals_plain_restatement(spark):
     rng = random.Random(13)
     docs = [(i, rng.choice([f"only {i}", f"copied {rng.randrange(30)}", "the hot one"])) for i in range(700)]
@@ -385,12 +436,10 @@ def test_layout_equals_plain_restatement(spark):
     got = defaultdict(set)
     for r in found:
         got[r.shard].add(r.doc_id)
-    # the order of places, from the operator's own cells: only the filling is restated
-    cells = {r.doc_id: r.c for r in frame.select("doc_id", F.get(hilbert.curve(), hilbert._cell(frame, F.col("text"))).alias("c")).collect()}
-    hashes = {r.doc_id: (r.h1, r.h2) for r in frame.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).collect()}
     first = {}
     for i, t in docs:
         first.setdefault(t, i)
+    cells, hashes = plain_cells([(i, None, None, t) for i, t in docs]), {i: plain_hashes(t) for i, t in docs}
     order = sorted(docs, key=lambda r: (cells[first[r[1]]], *hashes[r[0]], r[0]))
     want = {s: {order[at][0] for at in places} for s, places in plain_layout(order, 8).items()}
     assert {s: len(v) for s, v in got.items()} == {s: len(v) for s, v in want.items()}
