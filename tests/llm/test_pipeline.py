@@ -48,3 +48,21 @@ def test_rows_of_one_id_stay_or_go_by_their_text(spark):
     texts = lambda df, i: [r.text for r in df.where(F.col("doc_id") == i).collect()]
     assert texts(corpus_pipeline.identify_language(spark, docs, DIR), 20_000) == [clean.text]
     assert texts(corpus_pipeline.decontaminate(spark, docs, DIR), 20_001) == [clean.text]
+
+
+def test_stages_take_empty_tables_and_busy_names(spark):
+    """Ties, repeated rows, a very long text, and columns named as those that stages make."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    long = " ".join(r.text for r in docs.where("lang = 'en' and length(text) > 200").orderBy("doc_id").limit(200).collect())
+    some = docs.select("doc_id", "text", "lang", "source").where("doc_id < 60")
+    more = spark.createDataFrame([(30_000, long, "en", "s"), (30_000, long, "en", "s"), (30_001, None, None, None), (None, None, None, None)], some.schema)
+    some = some.unionByName(more).withColumns({c: F.lit(1) for c in ("gone_id", "__map_id", "__words", "__dropped", "n_dropped", "words", "text_hash")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, some, DIR)
+        assert found.columns == some.columns, name
+        rows = found.where("doc_id >= 30000 or doc_id is null").groupBy("doc_id").count().collect()
+        count = {r.doc_id: r["count"] for r in rows}
+        assert count.get(30_000, 0) in (0, 2), name  # repeated rows stay or go together
+        assert (count.get(30_000) == 2 and count.keys() == {30_000}) if name == "language ID" else count.keys() >= {30_001, None}, name
+        assert stage(spark, some.where("false"), DIR).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, some.where("false"), DIR).count() == 0
