@@ -2,6 +2,9 @@
 
 Each stage works on all rows that the stage before it kept, written as Parquet and read
 again. All but the last return the columns of `documents`.
+
+In every stage very long texts are read whole, an empty table stays empty, and further
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from echotrace import sinks
 from echotrace.functions import judgment as J
 from echotrace.functions import text as T
 from echotrace.operators import clusters as C
-from echotrace.operators import components, evaluation, governance, graph, latercopy, semantic, simjoin
+from echotrace.operators import components, evaluation, governance, graph, latercopy, semantic, simjoin, validate
 from echotrace.options import DetectionOptions
 from echotrace.plans import oracle
 from echotrace.plans import registry as R
@@ -48,6 +48,20 @@ def dealt_values(rows: list[tuple], *names: str) -> str:
     return f"(SELECT event_id, {', '.join(names)} FROM events JOIN (VALUES {numbered}) v(n, {', '.join(names)}) ON event_id % {len(rows)} = n)"
 
 
+# bounds of an input
+
+@query("SELECT account, count(*) AS posts, count(*) <= 5000 AS accepted FROM posts GROUP BY account")
+def input_sizes(spark, d):
+    """Each account's posts as an input of its own: accepted up to the bound on posts."""
+    return validate.sizes(R.posts(spark, d), "account")
+
+
+@query("SELECT conv_id, count(*) AS posts, count(*) <= 6 AS accepted FROM conversations GROUP BY conv_id")
+def conversation_sizes(spark, d):
+    """Each conversation as an input with a bound of six posts, which many exceed."""
+    return validate.sizes(table(spark, d, "conversations"), "conv_id", 6)
+
+
 # sources
 
 def _quoted(*cells: str):
