@@ -49,6 +49,22 @@ def test_chance_pairs_are_left_out_inside_the_join(spark, monkeypatch, threshold
     assert sum(looked) <= 3 * want + simjoin.SKETCHES * len(rows)  # and a pivot for each sketch of a set
 
 
+@pytest.mark.parametrize("threshold", [0.35, 0.5, 0.8, 1.0])
+def test_bitmaps_of_whole_sets_keep_every_similar_pair_and_few_others(spark, monkeypatch, threshold):
+    rows, moved = long_sets(7), []
+    monkeypatch.setattr(simjoin, "CHEAP", 0)
+    monkeypatch.setattr(simjoin, "plausible", lambda *a, real=simjoin.plausible: (moved.append(real(*a)), moved[-1])[1])
+    every = [(a, b) for b, *_ in rows for a, *_ in rows if a < b]
+    with temporary(spark):
+        sets = spark.createDataFrame(rows, SCHEMA)
+        found = simjoin.verified(spark.createDataFrame(every, "a long, b long"), sets, threshold).select("a", "b").collect()
+        passed = moved[0].count()
+    own = {i: set(x) for i, _, x in rows}
+    want = {(a, b) for a, b in every if len(own[a] & own[b]) / len(own[a] | own[b]) >= threshold}
+    assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+    assert len(want) <= passed <= 2 * len(want) + len(every) // 50
+
+
 def test_frequent_tokens_are_bounded(spark):
     rows = [(i, "a", sorted({1, 2 + i % 2, 10 + i % 4, 100 + i})) for i in range(16)]
     with temporary(spark):
