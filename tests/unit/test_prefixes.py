@@ -1,0 +1,39 @@
+"""Prefixes in the exact order of frequency and token: whatever is broadcast, and without shuffling frequent tokens."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from echotrace.operators import simjoin
+from echotrace.session import temporary
+
+SCHEMA = "ord long, tokens array<string>"
+
+
+def texts(n=120):
+    rng = random.Random(3)
+    words = ["the", "of", "é", "zz", "Z", "a", "東京", "京都", "𠮷", "ｚ"] + [f"w{i}" for i in range(60)]
+    rows = [{words[min(int(rng.expovariate(0.08)), len(words) - 1)] for _ in range(rng.choice([1, 2, 7, 30]))} for _ in range(n)]
+    return [(i, sorted(x | {f"own{i}-{k}" for k in range(rng.choice([0, 0, 1, 9]))})) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+@pytest.mark.parametrize("frequent", [0, 9, 1 << 18])
+def test_exact_order_with_few_tokens_shuffled(spark, monkeypatch, threshold, frequent):
+    rows, kept = texts(), []
+    monkeypatch.setattr(simjoin, "FREQUENT", frequent)
+    monkeypatch.setattr(simjoin, "keep", lambda df, real=simjoin.keep: (kept.append(real(df)), kept[-1])[1])
+    df = Counter(t for _, own in rows for t in own)
+    want = set()
+    for i, own in rows:
+        ranked = sorted(own, key=lambda t: (df[t], t.encode()))
+        want |= {(i, t) for t in ranked[: len(own) - math.ceil(len(own) * threshold - 1e-9) + 1]}
+    with temporary(spark):
+        found = [tuple(r) for r in simjoin.prefixes(spark.createDataFrame(rows, SCHEMA), threshold).collect()]
+        shuffled = kept[0].where("want is not null").count()
+    assert sorted(found) == sorted(want)
+    if frequent > len(df):  # then only tokens of one set are unknown, in sets that have more of them than their prefix
+        own = [(sum(df[t] == 1 for t in x), len(x) - math.ceil(len(x) * threshold - 1e-9) + 1) for _, x in rows]
+        assert shuffled == sum(alone for alone, prefix in own if alone > prefix)
