@@ -72,3 +72,16 @@ def test_frequent_tokens_are_bounded(spark):
         every, few = simjoin.frequent_tokens(sets), simjoin.frequent_tokens(sets, 3)
     assert (every[0].tolist(), every[1].tolist()) == ([1, 2, 3, 10, 11, 12, 13], [16, 8, 8, 4, 4, 4, 4])
     assert few[0].tolist() == [1, 2, 3] and few[1].dtype == np.int64
+
+
+def test_sets_are_made_once(spark):
+    rows, made = long_sets(9, 40), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    with temporary(spark):
+        simjoin.similar_pairs(spark.createDataFrame(rows, SCHEMA).mapInArrow(counted, SCHEMA), 0.8).count()
+    assert made.value == len(rows)
