@@ -49,6 +49,23 @@ def test_equal_sets_of_one_hash_are_told_apart(spark, monkeypatch):
     assert sorted(map(tuple, found)) == [(1, 2), (3, 4)]
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_sets_are_written_for_plausible_pairs_only(spark, monkeypatch, written, stored):
+    """Sets in chance pairs are not written, and sets that are written already are not written again."""
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 2], "ab"[i % 2], sorted(rng.sample(range(2000), 60))) for i in range(200)]
+    rows += [(1000 + i, "c", "c", sorted(rows[i][3][3:])) for i in range(12)]
+    monkeypatch.setattr(simjoin, "CHEAP", 0)
+    every = [(a, b) for a, *_ in rows for b, *_ in rows if a < b]
+    with temporary(spark):
+        sets = spark.createDataFrame(rows, SCHEMA)
+        if stored:
+            assert simjoin.similar_pairs(sets, 0.8, stored=True).count() == 12
+        else:
+            assert simjoin.verified(spark.createDataFrame(every, "a long, b long"), sets, 0.8).count() == 12
+    assert len(written) == 1 and 24 <= written[0] <= 40
+
+
 def test_hashes_of_many_sets_are_written_as_words_of_a_dictionary(spark):
     own = spark.range(0, 6000, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.xxhash64(F.floor(F.pow(F.pmod(F.xxhash64("id", i), F.lit(1 << 20)) / (1 << 20), 4) * 1_000_000))).alias("tokens"))  # frequent and rare ones
     size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
