@@ -1,0 +1,31 @@
+"""Checked posts: rows of one id are told apart without shuffling the texts of all others, and blank texts are found."""
+
+from pyspark.sql import functions as F
+from ran import moved
+
+from echotrace.functions import text as T
+from echotrace.operators.validate import validate
+from echotrace.session import temporary
+
+
+def test_texts_of_single_ids_are_not_shuffled(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("ord"), F.when(F.col("id") % 500 == 1, F.col("id") - 1).otherwise(F.col("id")).cast("string").alias("id"), F.lit("@a").alias("account"), F.lit("https://e.example/1").alias("url"),
+        F.lit("2024-01-01T00:00:00Z").alias("postedAt"), F.when(F.col("id") % 1000 == 0, " ").otherwise("some words").alias("text"),
+    )
+    rows = rows.union(rows.where("ord = 7"))  # a row that comes twice, under one row number
+    with temporary(spark):
+        posts, errors = validate(rows)
+        assert moved(posts.select("ord", "text"), "text") <= 20
+        found = sorted(r.ord for r in posts.select("ord").collect())
+        told = sorted((r.ord, r.rule) for r in errors.collect())
+    blank, again = [0, 1000, 2000], [501, 1501, 2501]  # an id whose first row is blank is not repeated
+    assert found == [i for i in range(3000) if i not in blank + again]
+    assert told == sorted([(i, "text_required") for i in blank] + [(i, "id_repeated") for i in [*again, 7]])
+
+
+def test_required_text_is_what_trimming_leaves(spark):
+    cases = [None, "", " ", "\n", "\u3000\ufeff\u00a0", "\x85", "\u200b", " a", "a\n", "\n\n \u2028", "\n a \n", "\ud83c\udf89".encode("utf-16", "surrogatepass").decode("utf-16"), "\x00", "\x1f"]
+    own = spark.createDataFrame([(c,) for c in cases], "c string")
+    found = own.select(T.required_text(F.col("c")).alias("now"), F.coalesce(F.length(T.js_trim(F.col("c"))) > 0, F.lit(False)).alias("trimmed")).collect()
+    assert [r.now for r in found] == [r.trimmed for r in found] and len({r.now for r in found}) == 2
